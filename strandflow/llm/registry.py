@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandflow.llm import queries_docs, queries_native
+from strandflow.llm import queries_docs, queries_index, queries_native
 
-MODULES = (queries_native, queries_docs)
+MODULES = (queries_native, queries_docs, queries_index)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm import _pack
+from strandflow.llm import _bloom, _pack
 from strandflow.llm._graph import components
 from strandflow.llm._store import written
 from strandflow.llm._text import binaries, grams, mix, slices, words
@@ -36,7 +36,6 @@ NONE = 2**63 - 1
 GROUPS = 256
 SET_BYTES = 5
 KEYS, SKETCH = 0, 1
-BLOOM_BITS = 1 << 26
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -262,40 +261,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held)
 
 
-def _bloom_places(ids: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(cls.view(np.uint64) ^ mix(ids.view(np.uint64)))
-    return (x % np.uint64(BLOOM_BITS)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)
+def _rep_name(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return cls.view(np.uint64) ^ mix(ids.view(np.uint64))
 
 
-def _bloom(reps: DataFrame) -> np.ndarray:
-    """A bit set over (class, document) of the representatives: BLOOM_BITS / 8 bytes, whatever the data's size."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(np.concatenate(_bloom_places(b.column(0).to_numpy(), b.column(1).to_numpy())))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(np.int64(1), at & 31))], ["at", "bits"])
-
-    words_ = reps.select("doc_id", "cls").mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 32, dtype=np.uint32)
-    out[words_["at"].to_numpy()] = words_["bits"].to_numpy().astype(np.uint32)
-    return out
+def _rep_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_i64(_rep_name(b.column(0).to_numpy(), b.column(1).to_numpy())))], ["x"])
 
 
 def _sets(size: int, bits):
     """Scan: the sets of representatives, as 40-bit hashes with their points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-
-        def has(at):
-            return (table[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
-
         for batch in batches:
             for b in slices(batch):
                 h, cuts = shingle_sets(b.column(1), size)
                 cls, ids = set_class(h, cuts), _ids(b.column(0))
-                one, two = _bloom_places(ids, cls)
-                rows = np.flatnonzero(has(one) & has(two) & (np.diff(cuts) > 0))
+                rows = np.flatnonzero(_bloom.has(bits.value, _rep_name(ids, cls)) & (np.diff(cuts) > 0))
                 if not len(rows):
                     continue
                 lens = np.diff(cuts)[rows]
@@ -386,7 +369,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     names = found.where(f"kind = {KEYS}").select(F.col("a").alias("name"), F.col("b").alias("cls")).distinct()
     reps = sketch.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     member = written(names.join(reps, "cls").select("name", "cls", F.col("doc_id").alias("node")), "members")
-    sets = written(d.mapInArrow(_sets(size, spark.sparkContext.broadcast(_bloom(member.select(F.col("node").alias("doc_id"), "cls").distinct()))), "node long, n long, data binary, point binary"), "sets")
+    wanted = spark.sparkContext.broadcast(_bloom.build(member.select("node", "cls").distinct().mapInArrow(_rep_names, "x long")))
+    sets = written(d.mapInArrow(_sets(size, wanted), "node long, n long, data binary, point binary"), "sets")
     hubs = member.groupBy("name").agg(F.min("node").alias("a"))
     pairs = member.join(hubs, "name").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = verify(pairs, sets, percent)

@@ -83,6 +83,13 @@ def place(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", text: str =
     return out.select(key, "size", "text_crc32", "virtual_slot", "version", "shard", (F.col("before") + F.col("at") - 1).alias("place"))
 
 
+def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """docs with virtual_slot and shard as last columns (in place of any of these names)."""
+    slot_map = new_map(slot_bytes(docs, key, text, slots), shards).select(F.col("slot").alias("virtual_slot"), "shard")
+    rows = docs.drop("virtual_slot", "shard").withColumn("virtual_slot", slot_of(F.col(key), slots))
+    return rows.join(F.broadcast(slot_map), "virtual_slot").select(*[c for c in rows.columns if c != "virtual_slot"], "virtual_slot", "shard")
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Slots, map and places in one call."""
     sizes = slot_bytes(docs, key, text, slots)

@@ -1,12 +1,71 @@
-"""The corpus pipeline: stages of the llm subpackage over `documents`."""
+"""The corpus pipeline: five stages of the llm subpackage over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. No SQL expresses the language
+model or the latent search, so the pipeline is tested against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from strandflow.llm._store import written
+from strandflow.llm.jaccard_join import similar_documents
+from strandflow.llm.langid_ppm import identify, train
+from strandflow.llm.latent_decontamination import leaks
+from strandflow.llm.mixing import mix
+from strandflow.llm.sharding import assign
+
+MIN_SCORE = 0.5
+SHARDS = 40
 ORACLE_SQL = None
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with a posterior of MIN_SCORE; the model learns from their labels."""
+    out = identify(docs, train(docs))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+
+
+def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of similar ones, once; rows without a doc_id stay."""
+    found = similar_documents(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its first word; whole documents move."""
+    plan = mix(docs).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
+    out = docs.join(plan, "doc_id")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).drop("copy_")
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard."""
+    return assign(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("near_duplicates", one_of_similar),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from strandflow.plans import queries_core
+
+MODULES = (queries_core,)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -127,7 +127,7 @@ class Plan:
             return text
 
         last = body_of(self)
-        return "WITH RECURSIVE " + ",\n".join(steps) + "\n" + last if steps else last
+        return "WITH RECURSIVE " + ",\n".join(steps) + f"\nSELECT * FROM ({last}) last_"
 
     def with_params(self, **params) -> Plan:
         return replace(self, params={**self.params, **params})

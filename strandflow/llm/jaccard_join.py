@@ -7,7 +7,8 @@ same in both (its count and its content); a key per group deals the points, and
 empty may be the only ones that agree; a document with that many of them is dealt by its smallest shingles as well.
 
 1. One scan makes classes (equal sets are one class) and keys, packed; a reduce task keeps the keys of two or more classes.
-2. In each set of classes that share a key, every class is verified against the smallest; links give components.
+2. In a few rounds every set of classes that share a key names a hub, and classes outside the hub's component are verified
+   against it, a class against one hub a round; links give components. A hub's set goes to as many tasks as it needs.
 3. Where a set of classes still spans components, an R-tree over the count vectors of its points (leaves packed by
    size, boxes bounded by their upper corners) finds the pairs across components whose bound suffices, and they are
    verified. Pairs inside a component cannot change the result and are not listed.
@@ -33,9 +34,10 @@ from strandflow.llm._store import written
 from strandflow.llm._text import binaries, grams, mix, slices, words
 
 NONE = 2**63 - 1
-GROUPS = 256
 SET_BYTES = 5
 KEYS, SKETCH = 0, 1
+#: Rounds of verification against hubs before the R-tree; any number gives the same result.
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +117,24 @@ def group_keys(h: np.ndarray, cuts: np.ndarray, percent: int = 80) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def count_vectors(h: np.ndarray, cuts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """The points: how many shingles of each set fall into each group."""
-    n = np.diff(cuts)
-    who = np.repeat(np.arange(len(n)), n)
-    g = (mix(h + np.uint64(5)) % np.uint64(groups)).astype(np.int64)
-    return np.bincount(who * groups + g, minlength=len(n) * groups).reshape(len(n), groups).astype(np.uint16)
+def groups_for(n: int) -> int:
+    """How many groups a set of n shingles has: one or two shingles a group, so that unlike sets have unlike counts."""
+    return max(64, 1 << (max(n, 1).bit_length() - 1))
+
+
+def count_vector(h: np.ndarray) -> np.ndarray:
+    """The point: how many shingles fall into each group. Counts beyond a byte, were there any, make a point that bounds nothing."""
+    groups = groups_for(len(h))
+    counts = np.bincount((mix(h + np.uint64(5)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return (counts if counts.max() < 256 else np.full(groups, 255)).astype(np.uint8)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (rows) over fewer groups: groups that agree modulo the new number are added."""
+    while points.shape[1] > groups:
+        half = points.shape[1] // 2
+        points = points[:, :half].astype(np.uint16) + points[:, half:]
+    return points
 
 
 def enough(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -285,8 +299,8 @@ def _sets(size: int, bits):
                 new = np.concatenate(([0], np.cumsum(lens)))
                 kept = h[np.repeat(cuts[rows] - new[:-1], lens) + np.arange(new[-1])]
                 low = np.ascontiguousarray(kept.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).reshape(-1)
-                points = count_vectors(kept, new)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(lens), binaries(low, new * SET_BYTES), binaries(np.minimum(points, 65535).reshape(-1), np.arange(len(rows) + 1) * GROUPS)], ["node", "n", "data", "point"])
+                points = [count_vector(kept[x:y]).tobytes() for x, y in zip(new[:-1], new[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(lens), binaries(low, new * SET_BYTES), pa.array(points, pa.binary())], ["node", "n", "data", "point"])
 
     return run
 
@@ -298,19 +312,18 @@ def _elements(data: bytes) -> np.ndarray:
     return raw.reshape(-1).view(np.uint64)
 
 
+def _links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if min(len(s), len(t)) * 100 < percent * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both * 100 >= percent * (len(s) + len(t) - both)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = [], []
-            for x, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                s, t = _elements(p.as_py()), _elements(q.as_py())
-                if min(len(s), len(t)) * 100 < percent * max(len(s), len(t)):
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if both * 100 >= percent * (len(s) + len(t) - both):
-                    a.append(x)
-                    c.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+            ok = [_links(_elements(p.as_py()), _elements(q.as_py()), percent) for p, q in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -322,18 +335,82 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
 
 
+def _may_link(p: bytes, q: bytes, percent: int) -> bool:
+    """Whether the summed coordinate minima of two points (size in 4 bytes, then counts) allow a link."""
+    n, m = int.from_bytes(p[:4], "little"), int.from_bytes(q[:4], "little")
+    if min(n, m) * 100 < percent * max(n, m):
+        return False
+    x, y = np.frombuffer(p, np.uint8, offset=4)[None], np.frombuffer(q, np.uint8, offset=4)[None]
+    groups = min(x.shape[1], y.shape[1])
+    return int(np.minimum(folded(x, groups), folded(y, groups)).sum()) >= int(enough(n, m, percent))
+
+
+def _star(percent: int, bound: bool):
+    """Rows sorted by hub, the hub's own row first: the members that link, or may link, with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, []
+        for b in batches:
+            a, c = [], []
+            for hub, salt, member, node, data in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                if (hub, salt) != now:
+                    now, sets = (hub, salt), []
+                x = data.as_py() if bound else _elements(data.as_py())
+                if not member:
+                    sets.append(x)
+                elif any((_may_link if bound else _links)(x, y, percent) for y in sets):
+                    a.append(hub)
+                    c.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def star_pairs(stars: DataFrame, data: DataFrame, percent: int, bound: bool, most: int = 1000) -> DataFrame:
+    """Of (hub, node), one hub a node, the pairs (a, b) whose `data` pass, written. A hub with many nodes is copied, once for each `most` of them."""
+    load = stars.groupBy("hub").agg((F.floor(F.count("*") / most) + 1).cast("int").alias("salts"))
+    hubs = load.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    nodes = stars.join(load, "hub").select("node", "hub", F.pmod(F.hash("node"), "salts").alias("salt"), F.lit(True).alias("member"))
+    rows = hubs.unionByName(nodes).join(data, "node").select("hub", "salt", "member", "node", "data")
+    rows = rows.repartition(F.col("hub"), F.col("salt")).sortWithinPartitions("hub", "salt", "member")
+    return written(rows.mapInArrow(_star(percent, bound), "a long, b long").distinct(), "stars")
+
+
+def _with_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data = [int(n).to_bytes(4, "little") + p.as_py() for n, p in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["node", "data"])
+
+
+def verify_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of (hub, node) that link: points first, which are small, then the sets of those that may."""
+    points = sets.select("node", "n", "point").mapInArrow(_with_size, "node long, data binary")
+    may = star_pairs(stars, points, percent, True)
+    return star_pairs(may.toDF("hub", "node"), sets.select("node", "data"), percent, False)
+
+
 def _across(percent: int):
     """Pairs of one set of classes that lie in different components and pass the R-tree's bound; rows come sorted by name."""
 
     def search(node, comp, n, points):
+        """Trees per number of groups; a query looks into those with as many, twice as many and half as many groups, at the coarser of both."""
         names, sizes = np.unique(comp, return_counts=True)
         queries = np.flatnonzero(comp != names[sizes.argmax()])
-        tree = CountRTree(points, n)
+        groups = np.array([len(p) for p in points])
+        trees = {}
         for i in queries:
-            hits = tree.search(points[i], int(n[i]), percent)
-            hits = hits[comp[hits] != comp[i]]
-            for j in hits:
-                yield min(node[i], node[j]), max(node[i], node[j])
+            g = int(groups[i])
+            for other in (g // 2, g, 2 * g):
+                at = min(g, other)
+                if (other, at) not in trees:
+                    rows = np.flatnonzero(groups == other)
+                    trees[other, at] = rows, CountRTree(folded(np.stack([points[r] for r in rows]), at), n[rows]) if len(rows) else None
+                rows, tree = trees[other, at]
+                if tree is None:
+                    continue
+                hits = rows[tree.search(folded(points[i][None], at)[0], int(n[i]), percent)]
+                for j in hits[comp[hits] != comp[i]]:
+                    yield min(node[i], node[j]), max(node[i], node[j])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -350,7 +427,7 @@ def _across(percent: int):
         out = set()
         for _, g in f.groupby("name", sort=False):
             g = g.drop_duplicates("node")
-            points = np.stack([np.frombuffer(p, dtype=np.uint16) for p in g["point"]])
+            points = [np.frombuffer(p, dtype=np.uint8) for p in g["point"]]
             out.update(search(g["node"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(), points))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
@@ -371,17 +448,28 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     member = written(names.join(reps, "cls").select("name", "cls", F.col("doc_id").alias("node")), "members")
     wanted = spark.sparkContext.broadcast(_bloom.build(member.select("node", "cls").distinct().mapInArrow(_rep_names, "x long")))
     sets = written(d.mapInArrow(_sets(size, wanted), "node long, n long, data binary, point binary"), "sets")
-    hubs = member.groupBy("name").agg(F.min("node").alias("a"))
-    pairs = member.join(hubs, "name").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = verify(pairs, sets, percent)
     same = sketch.where("n > 0").join(reps.withColumnRenamed("doc_id", "rep"), "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comp = components(links)
-    of = member.select("name", "node").distinct().join(comp, "node", "left").select("name", "node", F.coalesce("label", "node").alias("comp"))
-    of = written(of, "members")
+    links = None
+    for turn in range(ROUNDS + 1):
+        of = member.select("name", "node").distinct()
+        if links is None:
+            of = of.withColumn("comp", F.col("node"))
+        else:
+            of = of.join(components(links), "node", "left").select("name", "node", F.coalesce("label", "node").alias("comp"))
+        of = written(of, "members")
+        if turn == ROUNDS:
+            break
+        order = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
+        hubs = of.groupBy("name").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("comp").alias("of"))).alias("h"))
+        stars = of.join(hubs, "name").where("comp <> h.of").groupBy("node").agg(F.min("h").alias("h")).select("node", "h.hub")
+        new = verify_stars(written(stars, "stars"), sets, percent)
+        links = new if links is None else written(links.unionByName(new), "links")
+        if not new.limit(1).count():
+            break
     open_ = of.groupBy("name").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("name")
     left = of.join(open_, "name").join(sets.select("node", "n", "point"), "node").select("name", "node", "comp", "n", "point")
     left = left.repartition(F.col("name")).sortWithinPartitions("name", "node")
-    more = left.mapInPandas(_across(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = written(left.mapInPandas(_across(percent), "a long, b long").distinct(), "pairs")
     links = links.unionByName(verify(more, sets, percent))
     final = components(links.unionByName(same))
     out = sketch.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -121,7 +121,7 @@ class Plan:
                 name = f"{places[which]}_h{len(steps)}"
                 steps.append(f"{name} AS (SELECT *, 0 AS blk, TRUE AS own FROM {places[which]})")
                 places[which] = name
-            text = plain_sql(p.op.render(p.params))
+            text = p.op.plain(p.params) if hasattr(p.op, "plain") else plain_sql(p.op.render(p.params))
             for k, name in places.items():
                 text = text.replace("{" + k + "}", name)
             return text

@@ -33,6 +33,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_url_reputation": op2_url_reputation, "op8_mixing": op8_mixing}
 
+_OP1 = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+h AS (SELECT doc_id, list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda q: instr('123456789ABCDEF', q)) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+b AS (SELECT doc_id, n, list_transform(range(n), lambda k: (x[2 * k + 1] * 16 + x[2 * k + 2])::BIGINT) AS bytes FROM h),
+d AS (SELECT b.doc_id, (n + 16)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, y: xor(a >> 8, crc[(xor(a, y) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+    (('0x' || substr(md5(coalesce(b.doc_id::VARCHAR, '')), 1, 8))::BIGINT % 4096)::INT AS virtual_slot FROM b, t),
+s AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS k FROM d GROUP BY virtual_slot),
+f(k, loads, shard) AS (SELECT 0::BIGINT, list_transform(range(40), lambda i: 0::BIGINT), -1
+    UNION ALL SELECT s.k, list_transform(f.loads, lambda v, i: CASE WHEN i = list_position(f.loads, list_min(f.loads)) THEN v + s.bytes ELSE v END), list_position(f.loads, list_min(f.loads)) - 1 FROM f JOIN s ON s.k = f.k + 1),
+m AS (SELECT virtual_slot, shard FROM s JOIN f USING (k))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32) - 1 AS slot, NULL::INT AS grown_shard, virtual_slot FROM d JOIN m USING (virtual_slot)
+"""
+
 _OP2 = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -98,4 +111,4 @@ x AS (SELECT doc_id, size, f.source_size, f.target, f.shard, passes, rest, frm,
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(a + size, frm + rest) - greatest(a, frm)) + greatest(0, least(a + size, frm + rest - cell) - a))::BIGINT AS taken, shard FROM x
 """
 
-ORACLES = {"op2_url_reputation": _OP2, "op8_mixing": _OP8}
+ORACLES = {"op1_sharding": _OP1, "op2_url_reputation": _OP2, "op8_mixing": _OP8}

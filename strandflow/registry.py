@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandflow.plans import queries_core, queries_detect, queries_material, queries_network, queries_phase
+from strandflow.plans import queries_composite, queries_core, queries_detect, queries_material, queries_network, queries_phase
 
-MODULES = (queries_core, queries_detect, queries_network, queries_material, queries_phase)
+MODULES = (queries_core, queries_detect, queries_network, queries_material, queries_phase, queries_composite)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +19,17 @@ def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(BITS)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(BITS)).astype(np.int64)
 
 
-def build(hashes: DataFrame) -> np.ndarray:
-    """The bits of a one-column DataFrame of longs. BITS / 8 bytes (8 MB) reach the driver at most, whatever the rows."""
+def build(rows: DataFrame, name: Callable[..., np.ndarray] = lambda x: x) -> np.ndarray:
+    """The bits of the hashes that `name` makes of the rows' columns of longs. BITS / 8 bytes (8 MB) reach the driver at most, whatever the rows."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.concatenate(_places(b.column(0).to_numpy())))
+            at = np.unique(np.concatenate(_places(name(*(c.to_numpy() for c in b.columns)))))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(np.int64(1), at & 31))], ["at", "bits"])
 
-    rows = hashes.mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = rows.mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS // 32, dtype=np.uint32)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return out
 
 

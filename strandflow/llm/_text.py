@@ -42,7 +42,7 @@ def _byte_table(lower: bool) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("pow", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(21, int(n - 1).bit_length())
         for key, base in (("pow", _BASE), ("inv", _INVERSE)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
@@ -126,7 +126,7 @@ def whole(w: Words, n: int) -> np.ndarray:
     return np.arange(len(w.hashes)) + n <= np.repeat(w.first[1:], w.counts)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, each of one row at least: bounds memory, drops nothing."""
     if not batch.num_rows:
         return
@@ -137,6 +137,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, min(to, batch.num_rows) - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:

@@ -182,7 +182,7 @@ def _i64(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _scan(size: int, percent: int, parts: int, most: int = 4 << 20):
+def _scan(size: int, percent: int, parts: int, most: int = 1 << 20):
     """Map side: packed keys by part, one set of keys per class and flush, and the sketch rows."""
 
     def flush(held):
@@ -279,13 +279,8 @@ def _rep_name(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return cls.view(np.uint64) ^ mix(ids.view(np.uint64))
 
 
-def _rep_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_i64(_rep_name(b.column(0).to_numpy(), b.column(1).to_numpy())))], ["x"])
-
-
 def _sets(size: int, bits):
-    """Scan: the sets of representatives, as 40-bit hashes with their points."""
+    """Scan: the sets of representatives, as 40-bit hashes, with their sizes and points as one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +294,7 @@ def _sets(size: int, bits):
                 new = np.concatenate(([0], np.cumsum(lens)))
                 kept = h[np.repeat(cuts[rows] - new[:-1], lens) + np.arange(new[-1])]
                 low = np.ascontiguousarray(kept.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).reshape(-1)
-                points = [count_vector(kept[x:y]).tobytes() for x, y in zip(new[:-1], new[1:], strict=True)]
+                points = [int(y - x).to_bytes(4, "little") + count_vector(kept[x:y]).tobytes() for x, y in zip(new[:-1], new[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(lens), binaries(low, new * SET_BYTES), pa.array(points, pa.binary())], ["node", "n", "data", "point"])
 
     return run
@@ -376,29 +371,21 @@ def star_pairs(stars: DataFrame, data: DataFrame, percent: int, bound: bool, mos
     return written(rows.mapInArrow(_star(percent, bound), "a long, b long").distinct(), "stars")
 
 
-def _with_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data = [int(n).to_bytes(4, "little") + p.as_py() for n, p in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["node", "data"])
-
-
 def verify_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of (hub, node) that link: points first, which are small, then the sets of those that may."""
-    points = sets.select("node", "n", "point").mapInArrow(_with_size, "node long, data binary")
-    may = star_pairs(stars, points, percent, True)
+    may = star_pairs(stars, sets.select("node", F.col("point").alias("data")), percent, True)
     return star_pairs(may.toDF("hub", "node"), sets.select("node", "data"), percent, False)
 
 
 def _across(percent: int):
     """Pairs of one set of classes that lie in different components and pass the R-tree's bound; rows come sorted by name."""
 
-    def search(node, comp, n, points):
+    def search(node, comp, n, points) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Trees per number of groups; a query looks into those with as many, twice as many and half as many groups, at the coarser of both."""
         names, sizes = np.unique(comp, return_counts=True)
-        queries = np.flatnonzero(comp != names[sizes.argmax()])
         groups = np.array([len(p) for p in points])
         trees = {}
-        for i in queries:
+        for i in np.flatnonzero(comp != names[sizes.argmax()]):
             g = int(groups[i])
             for other in (g // 2, g, 2 * g):
                 at = min(g, other)
@@ -409,27 +396,36 @@ def _across(percent: int):
                 if tree is None:
                     continue
                 hits = rows[tree.search(folded(points[i][None], at)[0], int(n[i]), percent)]
-                for j in hits[comp[hits] != comp[i]]:
-                    yield min(node[i], node[j]), max(node[i], node[j])
+                hits = node[hits[comp[hits] != comp[i]]]
+                yield np.minimum(hits, node[i]), np.maximum(hits, node[i])
+
+    def pairs(f: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+        f = f.drop_duplicates("node")
+        held, count = [], 0
+        for a, b in search(f["node"].to_numpy(), f["comp"].to_numpy(), f["n"].to_numpy(), [np.frombuffer(p, dtype=np.uint8, offset=4) for p in f["point"]]):
+            held.append((a, b))
+            count += len(a)
+            if count >= most:
+                yield table(held)
+                held, count = [], 0
+        if count:
+            yield table(held)
+
+    def table(held):
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []
         for f in frames:
-            rest = f if rest is None else pd.concat([rest, f])
-            last = rest["name"].iloc[-1]
-            done, rest = rest[rest["name"] != last], rest[rest["name"] == last]
-            if len(done):
-                yield pairs(done)
-        if rest is not None and len(rest):
-            yield pairs(rest)
-
-    def pairs(f):
-        out = set()
-        for _, g in f.groupby("name", sort=False):
-            g = g.drop_duplicates("node")
-            points = [np.frombuffer(p, dtype=np.uint8) for p in g["point"]]
-            out.update(search(g["node"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(), points))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+            cut = np.flatnonzero(np.diff(f["name"].to_numpy())) + 1
+            for k, part in enumerate(f.iloc[x:y] for x, y in zip([0, *cut], [*cut, len(f)], strict=True)):
+                if held and (k or held[-1]["name"].iloc[-1] != part["name"].iloc[0]):
+                    yield from pairs(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs(pd.concat(held))
 
     return run
 
@@ -446,7 +442,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     names = found.where(f"kind = {KEYS}").select(F.col("a").alias("name"), F.col("b").alias("cls")).distinct()
     reps = sketch.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     member = written(names.join(reps, "cls").select("name", "cls", F.col("doc_id").alias("node")), "members")
-    wanted = spark.sparkContext.broadcast(_bloom.build(member.select("node", "cls").distinct().mapInArrow(_rep_names, "x long")))
+    wanted = spark.sparkContext.broadcast(_bloom.build(member.select("node", "cls").distinct(), _rep_name))
     sets = written(d.mapInArrow(_sets(size, wanted), "node long, n long, data binary, point binary"), "sets")
     same = sketch.where("n > 0").join(reps.withColumnRenamed("doc_id", "rep"), "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = None

@@ -3,12 +3,16 @@
 Base entities (email, ip, card, phone) come from patterns. Around each occurrence, the words within `window` words are its
 context. Over the whole corpus, n(t, e) counts occurrences of term t in contexts of entity e and n(t) all its
 occurrences, so n(t, e) / n(t) estimates p(e | t), how surely the term reveals the entity (2^PMI times p(e)). Terms
-with at least `support` occurrences in contexts and p(e | t) of at least `disclose` become spans of kind `term` in those
-contexts; sanitising removes those of at least `remove` and generalises the others.
+with at least `support` occurrences in contexts and p(e | t) of at least `disclose` become spans of kind `term` wherever
+they occur, in contexts or not, with the largest p of their entities; sanitising removes those of at least `remove` and
+generalises the others.
+
+Three scans: contexts, counts of the terms in them, and the spans of every row, where a bit set thins the words before the
+exact join with the terms. Rows are told apart by a number of the last scan, so none of them needs a key.
 
 Defined results: null text counts as empty and has no spans; matches that fail their check are dropped without a
-retry; repeated rows count as often as they occur; an empty table gives no rows; other columns are not read. A term is a
-word with A-Z lower-cased; words that overlap a base span are no terms.
+retry; repeated rows count as often as they occur; rows with a null key are rows like others; an empty table gives no rows;
+other columns are not read. A term is a word with A-Z lower-cased; words that overlap a base span are no terms.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm import _bloom
 from strandflow.llm._store import written
-from strandflow.llm._text import slices, words
+from strandflow.llm._text import buffers, slices, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -86,8 +90,8 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value.lower()}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(text: str, spans: list[Span], window: int) -> list[tuple[int, int, int, int]]:
-    """(term, entity, start, end) of the words around each span; each word once per entity."""
+def contexts(text: str, spans: list[Span], window: int) -> list[tuple[int, int]]:
+    """(term, entity) of the words around each span; each word once per entity."""
     w = words(pa.array([text], pa.large_string()), lower=True)
     chars = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
     start, end = chars[w.starts], chars[w.ends]
@@ -100,26 +104,57 @@ def contexts(text: str, spans: list[Span], window: int) -> list[tuple[int, int,
         lo, hi = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
         for i in [*range(max(0, lo - window), lo), *range(hi, min(len(start), hi + window))]:
             if free[i]:
-                out[i, e] = (int(w.hashes[i].view(np.int64)), e, int(start[i]), int(end[i]))
+                out[i, e] = (int(w.hashes[i].view(np.int64)), e)
     return list(out.values())
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, kind array<int>, start array<long>, end array<long>, term array<long>, entity array<long>, t_start array<long>, t_end array<long>"
+def _contexts(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                out = [c for text in b.column(0).to_pylist() if text and (spans := base_spans(text)) for c in contexts(text, spans, window)]
+                yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in out], pa.int64()) for k in range(2)], ["term", "entity"])
+
+    return run
 
 
-def _detect(window: int):
+def _marks(texts: pa.Array, bits: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By text: (term, start, end) of its words that the bit set holds, counted in characters."""
+    w = words(texts, lower=True)
+    at = np.flatnonzero(_bloom.has(bits, w.hashes))
+    if not len(at):
+        return {}
+    chars = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
+    of = np.searchsorted(w.first, at, "right") - 1
+    zero = chars[buffers(texts)[1][of]]
+    term, start, end = w.hashes[at].view(np.int64), chars[w.starts[at]] - zero, chars[w.ends[at]] - zero
+    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+    return {int(of[a]): (term[a:b], start[a:b], end[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
+_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, kind array<int>, start array<long>, end array<long>, term array<long>, t_start array<long>, t_end array<long>"
+
+
+def _detect(bits):
+    """Passes on all columns but the last, the text, and adds _FOUND."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, dtype=np.int64),) * 3
         for batch in batches:
-            for b in slices(batch):
-                rows = []
-                for text in b.column(1).to_pylist():
+            for b in slices(batch, batch.schema.names[-1]):
+                rows, texts = [], b.column(b.num_columns - 1)
+                marks = _marks(texts, bits.value)
+                for i, text in enumerate(texts.to_pylist()):
                     spans = base_spans(text) if text else []
-                    ctx = contexts(text, spans, window) if spans else []
+                    term, start, end = marks.get(i, none)
+                    free = np.ones(len(term), dtype=bool)
+                    for x, _, y in spans:
+                        free[np.searchsorted(end, x, "right") : np.searchsorted(start, y, "left")] = False
                     n = [sum(k == j for _, k, _ in spans) for j in range(4)]
-                    rows.append((*n, hashlib.sha256(joined(spans).encode()).hexdigest(), [k for _, k, _ in spans], [a for a, _, _ in spans], [e for _, _, e in spans], *([c[j] for c in ctx] for j in range(4))))
+                    rows.append((*n, hashlib.sha256(joined(spans).encode()).hexdigest(), [k for _, k, _ in spans], [a for a, _, _ in spans], [e for _, _, e in spans], term[free], start[free], end[free]))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32())] + [pa.list_(pa.int64())] * 6
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in _FOUND.split(", ")])
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32())] + [pa.list_(pa.int64())] * 5
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*b.schema.names[:-1], *(x.split()[0] for x in _FOUND.split(", "))])
 
     return run
 
@@ -149,32 +184,39 @@ def _term_counts(bits, most: int = 1 << 22):
     return run
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 10) -> DataFrame:
-    """Base entities and their contexts, one row per document, written; `row` tells repeated rows apart."""
-    found = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_detect(window), _FOUND)
-    return written(found.withColumn("row", F.monotonically_increasing_id()), "entities")
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = 3, disclose: float = 0.5) -> DataFrame:
+def revealing_terms(docs: DataFrame, text: str = "text", window: int = 10, support: int = 3, disclose: float = 0.5) -> DataFrame:
     """(term, entity, p) of the pairs over the threshold, from counts over all documents."""
-    pairs = found.select(F.explode(F.arrays_zip("term", "entity")).alias("x")).groupBy("x.term", "x.entity").agg(F.count("*").alias("near")).where(F.col("near") >= support)
+    t = docs.select(F.col(text).alias("text"))
+    pairs = t.mapInArrow(_contexts(window), "term long, entity long").groupBy("term", "entity").agg(F.count("*").alias("near")).where(F.col("near") >= support)
     pairs = written(pairs, "pairs")
     bits = docs.sparkSession.sparkContext.broadcast(_bloom.build(pairs.select("term").distinct()))
-    total = docs.select(F.col(text).alias("text")).mapInArrow(_term_counts(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    total = t.mapInArrow(_term_counts(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     p = F.col("near") / F.col("n")
     return pairs.join(total, "term").where(p >= disclose).select("term", "entity", p.alias("p"))
 
 
-def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 10, support: int = 3, disclose: float = 0.5) -> DataFrame:
-    """(doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, spans): spans as an array of (start, kind, end, p), sorted."""
-    found = detect(docs, key, text, window)
-    terms = revealing_terms(docs, found, text, support, disclose)
-    at = found.select("row", F.explode(F.arrays_zip("term", "entity", "t_start", "t_end")).alias("x")).select("row", "x.*")
-    at = at.join(terms, ["term", "entity"]).groupBy("row", "t_start", "t_end").agg(F.max("p").alias("p"))
+def detect(docs: DataFrame, terms: DataFrame, keep: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Base entities and the words that may be one of `terms`, a row per row, written with a number `row`; keep: with the text."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom.build(terms.select("term")))
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), *[F.col(text).alias("kept")] * keep, F.col(text).alias("text"))
+    found = d.mapInArrow(_detect(bits), "doc_id long, " + "kept string, " * keep + _FOUND)
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "entities")
+
+
+def _all_spans(docs: DataFrame, keep: bool, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    terms = written(revealing_terms(docs, text, **options).groupBy("term").agg(F.max("p").alias("p")), "terms")
+    found = detect(docs, terms, keep, key, text)
+    at = found.select("row", F.explode(F.arrays_zip("term", "t_start", "t_end")).alias("x")).select("row", "x.*").join(terms, "term")
     at = at.groupBy("row").agg(F.collect_list(F.struct(F.col("t_start").alias("start"), F.lit(4).alias("kind"), F.col("t_end").alias("end"), "p")).alias("added"))
     base = F.transform(F.arrays_zip("start", "kind", "end"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(1.0).alias("p")))
     out = found.join(at, "row", "left")
-    return out.select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_sort(F.concat(base, F.coalesce("added", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,p:double>>)")))).alias("spans"))
+    return out.withColumn("spans", F.array_sort(F.concat(base, F.coalesce("added", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,p:double>>)")))))
+
+
+def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 10, support: int = 3, disclose: float = 0.5) -> DataFrame:
+    """(doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, spans): spans as an array of (start, kind, end, p), sorted."""
+    out = _all_spans(docs, False, key, text, window=window, support=support, disclose=disclose)
+    return out.select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
 def spans_text(spans) -> F.Column:
@@ -203,8 +245,6 @@ def _rewrite(remove: float):
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = 0.9, **options) -> DataFrame:
     """(doc_id, text): entities and generalised terms become their kind in angle brackets, removed terms go.
 
-    Documents are joined with their spans by key; where spans overlap the first one counts.
+    Every row keeps its own spans, whatever its key; where spans overlap the first one counts.
     """
-    spans = all_spans(docs, key, text, **options).dropDuplicates(["doc_id"]).select("doc_id", "spans")
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id", "left")
-    return d.select("doc_id", "text", "spans").mapInArrow(_rewrite(remove), "doc_id long, text string")
+    return _all_spans(docs, True, key, text, **options).select("doc_id", F.col("kept").alias("text"), "spans").mapInArrow(_rewrite(remove), "doc_id long, text string")

@@ -349,6 +349,19 @@ def test_disclosure(spark, empty):
     assert pii_disclosure.all_spans(empty).count() == 0
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    """Six times beside the address, four times without it: p is 0.6 and all ten are spans, in rows without a doc_id too."""
+    beside = [(None, f"é codename{'Falcon'} belongs to x@y.com as agreed", None, None)] * 6
+    alone = [(i, t, None, None) for i, t in ((None, "ünder codenamefalcon we met"), (None, "codenameFalcon"), (7, "again\nCODENAMEFALCON é codenameFalcon"))]
+    d = table(spark, beside + alone + [(8, "é belongs to as agreed", None, None)] * 9)
+    got = pii_disclosure.all_spans(d).toPandas()
+    terms = [(s["start"], s["end"], round(s["p"], 3)) for r in got.itertuples() for s in r.spans if s["kind"] == 4]
+    assert sorted(terms) == [(0, 14, 0.6)] + [(2, 16, 0.6)] * 6 + [(6, 20, 0.6)] * 2 + [(23, 37, 0.6)]
+    safe = sorted(r.text for r in pii_disclosure.sanitise(d).collect())
+    assert len(safe) == 18 and not any("falcon" in t.lower() or "x@y" in t for t in safe)
+    assert safe.count("é <TERM> belongs to <EMAIL> as agreed") == 6 and "again\n<TERM> é <TERM>" in safe
+
+
 def test_decontamination(spark, empty):
     r = np.random.default_rng(8)
     vocab = ["".join(r.choice(list("abcdefghijk"), size=int(r.integers(2, 8)))) for _ in range(4000)]

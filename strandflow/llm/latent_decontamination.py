@@ -4,8 +4,10 @@ Passages of documents are TF-IDF vectors over hashed words. One distributed pass
 (randomised subspace iteration on the passages' matrix A), and Nystroem's formula turns Omega and Z into right singular
 vectors and values of A. A passage's latent vector is its TF-IDF vector times V / S, so that directions in
 which all passages vary count no more than others. Benchmark items, the stated query set, are compared with every passage of
-their length by cosine, in blocks; candidates are verified by the longest common subsequence of words and by the item's
-answer, its last words.
+their length by cosine, in blocks. What the cosine misses (a whitened vector of few directions ranks some copies low, short
+items above all) becomes a candidate the exact way: every passage with as many of the item's words as it needs. Candidates
+are verified by the longest common subsequence of words and by the item's answer, its last words, so that no passage which
+satisfies that rule is lost.
 
 Passages: sums over blocks of `stride` words; for an item of L words, all runs of ceil(L / stride) + 1 blocks (rounded up to
 an even number), one of which holds any copy whole; at a text's end they end with it. Documents are never cut.
@@ -177,6 +179,34 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
         within[j, np.searchsorted(vocabulary, x)] = True
     least = np.array([np.ceil(min(lcs, answer_lcs) * len(x)) for x in items.hashes])
 
+    def rest(known, starts, in_items, which, k, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all windows of k blocks with at least `least` words of the item.
+
+        Only blocks of windows with enough words of any item are counted by item. Such a window's blocks stay
+        neighbours when the other blocks are left out.
+        """
+        rows = np.flatnonzero(in_items[starts + k] - in_items[starts] >= least[which].min())
+        if not len(rows):
+            return rows, rows
+        step = np.zeros(len(in_items), dtype=np.int64)
+        np.add.at(step, starts[rows], 1)
+        np.add.at(step, starts[rows] + k, -1)
+        used = np.flatnonzero(np.cumsum(step) > 0)
+        at = np.searchsorted(used, starts[rows])
+        of = known.reshape(-1, stride)[used]
+        found = []
+        for lo in range(0, len(which), most):
+            j = which[lo : lo + most]
+            has = np.ascontiguousarray(within[j].T).view(np.uint8)
+            per = has[of[:, 0]].astype(np.int32)
+            for r in range(1, stride):
+                per += has[of[:, r]]
+            total = np.zeros((len(used) + 1, len(j)), dtype=np.int32)
+            np.cumsum(per, axis=0, out=total[1:])
+            x, y = np.nonzero(total[at + k] - total[at] >= least[j])
+            found.append((rows[x], j[y]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
     def candidates(w: Words) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item, first word, last word + 1, cosine). Blocks of a text are followed by empty ones, so windows end with it."""
         per = -(-w.counts // stride)
@@ -192,12 +222,21 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
             sums += table[terms[:, k]]
         starts = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())
         text_of = np.repeat(np.arange(len(per)), per)
+
+        def places(i, j, k, cos):
+            for x, y, z in zip(i, j, cos, strict=True):
+                d = int(text_of[x])
+                begin = int(w.first[d] + (starts[x] - first[d]) * stride)
+                yield d, int(y), begin, int(min(begin + k * stride, w.first[d + 1])), float(z)
+
+        in_items = np.concatenate(([0], np.cumsum((known < len(vocabulary)).reshape(-1, stride).sum(axis=1))))
         v, reach = sums.copy(), 1
         for k, which in sorted(groups.items()):
             for r in range(reach, k):
                 v[: len(sums) - r] += sums[r:]
             reach = k
             limit = cosine * np.sqrt(np.einsum("ij,ij->i", v, v))[starts, None]
+            seen = [np.zeros(0, dtype=np.int64)]
             for lo in range(0, len(which), 512):
                 dot = v[starts] @ items.vectors[which[lo : lo + 512]].T
                 i, j = np.nonzero((dot >= limit) & (limit > 0))
@@ -206,10 +245,12 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
                 for c in range(0, len(i), 1 << 17):
                     span = known[(starts[i[c : c + (1 << 17)]] * stride)[:, None] + np.arange(k * stride)]
                     ok[c : c + (1 << 17)] = within[j2[c : c + (1 << 17), None], span].sum(axis=1) >= least[j2[c : c + (1 << 17)]]
-                for x, y, z in zip(i[ok], j2[ok], dot[i[ok], j[ok]] * cosine / limit[i[ok], 0], strict=True):
-                    d = int(text_of[x])
-                    begin = int(w.first[d] + (starts[x] - first[d]) * stride)
-                    yield d, int(y), begin, int(min(begin + k * stride, w.first[d + 1])), float(z)
+                seen.append(i[ok] * len(least) + j2[ok])
+                yield from places(i[ok], j2[ok], k, dot[i[ok], j[ok]] * cosine / limit[i[ok], 0])
+            i, j = rest(known, starts, in_items, which, k)
+            new = ~np.isin(i * len(least) + j, np.concatenate(seen))
+            i, j = i[new], j[new]
+            yield from places(i, j, k, np.einsum("ij,ij->i", v[starts[i]], items.vectors[j]) * cosine / np.where(limit[i, 0] > 0, limit[i, 0], np.inf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

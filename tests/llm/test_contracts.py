@@ -387,6 +387,39 @@ def test_decontamination(spark, empty):
     assert latent_decontamination.leaks(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_that_brute_force_finds(spark):
+    """Recall 1 against the longest common subsequence of each item and every run of as many words, short items and reworded copies included."""
+    r = np.random.default_rng(11)
+    vocab = ["".join(r.choice(list("abcdefghijk"), size=int(r.integers(3, 8)))) for _ in range(2000)]
+    say = lambda n: list(r.choice(vocab, size=n))
+    items = [(k, say(n)) for k, n in enumerate([1, 1, 2, 2, 3, 4, 6, 9, 15, 22, 31, 40])]
+    rows = []
+    for i in range(120):
+        k = i % len(items)
+        leak = np.array(items[k][1], dtype=object)
+        body = len(leak) - 5
+        if i >= 48 and body > 2:
+            leak[r.permutation(body)[: (3 * len(leak)) // 10]] = "other"
+        w = say(int(r.integers(20, 60)))
+        at = int(r.integers(0, len(w) + 1))
+        rows.append((i, w[:at] + list(leak) + w[at:]))
+    code = {x: n for n, x in enumerate({x for _, w in rows + items for x in w})}
+    want = set()
+    for i, w in rows:
+        d = np.array([code[x] for x in w], dtype=np.uint64)
+        for k, x in items:
+            c = np.array([code[y] for y in x], dtype=np.uint64)
+            for at in range(max(1, len(d) - len(c) + 1)):
+                run = d[at : at + len(c)]
+                part = latent_decontamination.longest_common(c, run) / len(c)
+                if part >= 0.8 or part >= 0.7 and latent_decontamination.longest_common(c[-5:], run) == len(c[-5:]):
+                    want.add((i, k))
+                    break
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = latent_decontamination.leaks(table(spark, [(i, " ".join(w), None, None) for i, w in rows]), bench).toPandas()
+    assert len(want) >= 120 and want <= set(zip(got["doc_id"], got["item_id"], strict=True))
+
+
 def test_longest_common_subsequence():
     r = np.random.default_rng(9)
     for _ in range(50):

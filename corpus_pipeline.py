@@ -1,13 +1,15 @@
 """The corpus pipeline: five stages of the llm subpackage over `documents`.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. No SQL expresses the language
-model or the latent search, so the pipeline is tested against brute force.
+model or the latent search, so the pipeline is tested against brute force. Stages tell rows apart by a row number, so rows
+that share a doc_id, or have none, are judged by their own text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from strandflow.llm.sharding import assign
 
 MIN_SCORE = 0.5
 SHARDS = 40
+ROW = "pipeline_row_"
 ORACLE_SQL = None
 
 
@@ -29,24 +32,38 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number ROW that every scan repeats: a hash of file and place where docs is a plain scan of files, else written."""
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            return docs.withColumn(ROW, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+        except AnalysisException:  # not of files
+            pass
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of similar ones, once; rows without a doc_id stay."""
-    found = similar_documents(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of the smallest doc_id of each group of similar ones; rows without a doc_id stay and remove none."""
+    rows = numbered(docs)
+    found = similar_documents(rows.where("doc_id is not null"), key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    found = written(found.join(rows.select(ROW, "doc_id"), ROW), "found")
+    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).getField(ROW).alias(ROW)).select(ROW)
+    gone = found.select(ROW).join(stay, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    rows = numbered(docs)
+    found = leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its first word; whole documents move."""
-    plan = mix(docs).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    out = docs.join(plan, "doc_id")
+    rows = numbered(docs)
+    plan = mix(rows, carry=(ROW,)).where("copies > 0").select(ROW, "copies")
+    out = rows.join(plan, ROW)
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).drop("copy_")
 
 

@@ -14,8 +14,8 @@ empty may be the only ones that agree; a document with that many of them is deal
    verified. Pairs inside a component cannot change the result and are not listed.
 
 Verification intersects 40-bit shingle hashes. Defined results: null or empty text has an empty set and links with
-nothing; fewer words than a shingle are one shingle; rows that share a doc_id count as one document; a null doc_id
-sorts last and stays null; repeated rows are rows; an empty table gives no rows; other columns are not read.
+nothing; fewer words than a shingle are one shingle; classes are the nodes, so rows that share a doc_id or have none
+belong to the component of their own text; a component's id is its least doc_id, null where no row has one; repeated rows are rows; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -280,14 +280,18 @@ def _rep_name(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def _sets(size: int, bits):
-    """Scan: the sets of representatives, as 40-bit hashes, with their sizes and points as one binary."""
+    """Scan: the sets of representatives, once a task and class, as 40-bit hashes, with their sizes and points as one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in slices(batch):
                 h, cuts = shingle_sets(b.column(1), size)
                 cls, ids = set_class(h, cuts), _ids(b.column(0))
                 rows = np.flatnonzero(_bloom.has(bits.value, _rep_name(ids, cls)) & (np.diff(cuts) > 0))
+                rows = rows[np.sort(np.unique(cls[rows], return_index=True)[1])]
+                rows = rows[[int(x) not in seen for x in cls[rows]]] if len(rows) else rows
+                seen.update(cls[rows].tolist())
                 if not len(rows):
                     continue
                 lens = np.diff(cuts)[rows]
@@ -295,7 +299,7 @@ def _sets(size: int, bits):
                 kept = h[np.repeat(cuts[rows] - new[:-1], lens) + np.arange(new[-1])]
                 low = np.ascontiguousarray(kept.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).reshape(-1)
                 points = [int(y - x).to_bytes(4, "little") + count_vector(kept[x:y]).tobytes() for x, y in zip(new[:-1], new[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(lens), binaries(low, new * SET_BYTES), pa.array(points, pa.binary())], ["node", "n", "data", "point"])
+                yield pa.RecordBatch.from_arrays([pa.array(_i64(cls[rows])), pa.array(lens), binaries(low, new * SET_BYTES), pa.array(points, pa.binary())], ["node", "n", "data", "point"])
 
     return run
 
@@ -441,13 +445,15 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     sketch = found.where(f"kind = {SKETCH}").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("n"))
     names = found.where(f"kind = {KEYS}").select(F.col("a").alias("name"), F.col("b").alias("cls")).distinct()
     reps = sketch.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    member = written(names.join(reps, "cls").select("name", "cls", F.col("doc_id").alias("node")), "members")
-    wanted = spark.sparkContext.broadcast(_bloom.build(member.select("node", "cls").distinct(), _rep_name))
+    member = written(names.join(reps, "cls").select("name", "cls", "doc_id"), "members")
+    wanted = spark.sparkContext.broadcast(_bloom.build(member.select("doc_id", "cls").distinct(), _rep_name))
     sets = written(d.mapInArrow(_sets(size, wanted), "node long, n long, data binary, point binary"), "sets")
-    same = sketch.where("n > 0").join(reps.withColumnRenamed("doc_id", "rep"), "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # Equal rows with equal or no ids stand for their class in several tasks; a few do no harm.
+    if sets.groupBy("node").count().where("count > 16").limit(1).count():
+        sets = written(sets.dropDuplicates(["node"]), "sets")
     links = None
     for turn in range(ROUNDS + 1):
-        of = member.select("name", "node").distinct()
+        of = member.select("name", F.col("cls").alias("node")).distinct()
         if links is None:
             of = of.withColumn("comp", F.col("node"))
         else:
@@ -467,7 +473,9 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     left = left.repartition(F.col("name")).sortWithinPartitions("name", "node")
     more = written(left.mapInPandas(_across(percent), "a long, b long").distinct(), "pairs")
     links = links.unionByName(verify(more, sets, percent))
-    final = components(links.unionByName(same))
-    out = sketch.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    null = lambda c: F.when(c != NONE, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("label", "doc_id")).alias("component_id"))
+    final = components(links).withColumnRenamed("node", "cls")
+    label = written(reps.join(final, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "classes")
+    label = label.join(label.groupBy("label").agg(F.min("doc_id").alias("least")), "label").select("cls", "least")
+    out = sketch.where("n > 0").join(label, "cls").select("doc_id", "n", "least").unionByName(sketch.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("least")))
+    null = lambda c: F.when(F.col(c) != NONE, F.col(c))
+    return out.select(null("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"))

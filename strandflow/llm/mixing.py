@@ -58,17 +58,17 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
     return out.select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p.sure_") + F.coalesce("won.won_", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 32, shards: int = 16, seed: str = "mix", size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 32, shards: int = 16, seed: str = "mix", size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, shard, taken, copies) for every row of docs (doc_id, source, text).
 
-    copies: the passes that take the document's first word, for callers that move whole documents.
+    copies: the passes that take the document's first word, for callers that move whole documents. carry: columns passed on.
     """
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)) if size is None else size
     bucket = F.pmod(hash32(seed, F.col("doc_id")), F.lit(BUCKETS)).cast("int")
     # A key without nulls, in the order of sources: joins stay plain equalities and the null source comes last.
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
-    d = written(docs.select("doc_id", source.alias("source"), words.cast("long").alias("size"), bucket.alias("bucket"), order.alias("order_")), "mix")
+    d = written(docs.select("doc_id", source.alias("source"), words.cast("long").alias("size"), bucket.alias("bucket"), order.alias("order_"), *carry), "mix")
     per = BUCKETS // shards
     cells = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     cells = cells.withColumn("shard", F.floor(F.col("bucket") / per).cast("int"))
@@ -84,10 +84,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     first = F.pmod(hash32(seed, F.col("rank"), F.col("shard")), F.greatest(F.ceil(F.col("cell") / block), F.lit(1))) * block
     quota = quota.withColumn("passes", F.when(F.col("cell") > 0, F.floor(F.col("take") / F.col("cell"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("take") - F.col("passes") * F.col("cell")).withColumn("from_", first)
     plan = cells.select("source", "bucket", "shard", "start").join(quota.select("source", "shard", "cell", "source_size", "target", "passes", "rest", "from_"), ["source", "shard"])
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order_", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = d.withColumn("before", before).join(plan, ["source", "bucket"])
     a, e = F.col("start") + F.col("before"), F.col("start") + F.col("before") + F.col("size")
     stop = F.col("from_") + F.col("rest")
     part = F.greatest(F.lit(0), F.least(e, stop) - F.greatest(a, F.col("from_"))) + F.greatest(F.lit(0), F.least(e, stop - F.col("cell")) - a)
     first_in = ((a >= F.col("from_")) & (a < stop)) | (a < stop - F.col("cell"))
-    return out.select("doc_id", F.when(F.col("source") != "~", F.substring("source", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "shard", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), F.when(F.col("size") > 0, F.col("passes") + first_in.cast("int")).otherwise(1).cast("int").alias("copies"))
+    return out.select("doc_id", F.when(F.col("source") != "~", F.substring("source", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "shard", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), F.when(F.col("size") > 0, F.col("passes") + first_in.cast("int")).otherwise(1).cast("int").alias("copies"), *carry)

@@ -460,3 +460,24 @@ def test_extra_columns_with_clashing_names_and_null_ids(spark):
     assert len(got) == 4 and set(got["component_id"].dropna()) == {1, 2}
     with_source = d.withColumn("source", F.lit(None).cast("string"))
     assert mixing.mix(with_source).count() == 4 and isinstance(got, pd.DataFrame)
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_alone(spark, tmp_path):
+    import corpus_pipeline
+
+    say = lambda x, n=40: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(5, say("a")), (9, say("b")), (None, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (None, say("e") + " " + say("q", 20)), (None, say("f"))]
+    d = table(spark, [(i, t, "en", "s") for i, t in rows])
+    got = jaccard_join.similar_documents(d).toPandas()
+    named = sorted((r.doc_id, r.component_id) for r in got.dropna().itertuples())
+    assert named == [(5, 5), (7, 7), (7, 7), (9, 9)]
+    assert sorted(got[got["doc_id"].isna()]["component_id"].dropna()) == [5, 9] and len(got) == 8
+    spark.createDataFrame([(0, say("q", 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    for docs in (spark.read.parquet(str(tmp_path / "documents.parquet")), d):
+        kept = lambda name: sorted(r.text for r in stage[name](spark, docs, str(tmp_path)).select("text").collect())  # noqa: B023, E731
+        assert kept("near_duplicates") == sorted(t for _, t in rows)
+        assert kept("decontamination") == sorted(t for _, t in rows if "q0" not in t)
+        plan = mixing.mix(docs.withColumn("t", F.col("text")), carry=("t",)).where("copies > 0").select("t", "copies").collect()
+        assert len(kept("mixing")) == sum(r.copies for r in plan) and set(kept("mixing")) == {r.t for r in plan}

@@ -3,22 +3,26 @@
 Passages of documents are TF-IDF vectors over hashed words. One distributed pass gives Z = A'A Omega for a seeded Gaussian Omega
 (randomised subspace iteration on the passages' matrix A), and Nystroem's formula turns Omega and Z into right singular
 vectors and values of A. A passage's latent vector is its TF-IDF vector times V / S, so that directions in
-which all passages vary count no more than others. Benchmark items, the stated query set, are compared with every passage of
-their length by cosine, in blocks. What the cosine misses (a whitened vector of few directions ranks some copies low, short
-items above all) becomes a candidate the exact way: every passage with as many of the item's words as it needs. Candidates
-are verified by the longest common subsequence of words and by the item's answer, its last words, so that no passage which
-satisfies that rule is lost.
+which all passages vary count no more than others. Benchmark items, the stated query set, are compared with passages of
+their length by cosine. Candidates are verified by the longest common subsequence of words and by the item's answer, its last
+words.
+
+Which passages the search looks at: a match has at least `least` of the item's L words in order, so of any L - least + 2 of
+its words two at least are there. The item's rarest words (by the corpus) serve as these, and passages without two of them for
+any item of their length are left out before the cosine. The cosine alone would lose copies (a whitened vector of few
+directions ranks some low, short items above all), so passages with two rare words of the same item are candidates of that
+item in any case: no passage that satisfies the verification is lost, and a test holds the result against all passages.
 
 Passages: sums over blocks of `stride` words; for an item of L words, all runs of ceil(L / stride) + 1 blocks (rounded up to
 an even number), one of which holds any copy whole; at a text's end they end with it. Documents are never cut.
 Before the subsequence is computed, the passage's words that the item has at all must be enough for it.
 
-Bounds: words hash into TERMS dimensions, so document frequencies, Omega, Z and V have a fixed size. The items travel to
-every task: the benchmark may have at most MAX_ITEMS items, checked; more are to be given in several calls.
+Bounds: words hash into TERMS dimensions, so document frequencies, Omega, Z and V have a fixed size. Items travel to the
+tasks in parts of about PART items, one scan a part, so neither the driver nor a task holds the whole benchmark.
 
-Defined results: null or empty texts and items match nothing; a short item has its all words as answer; repeated rows
-are judged each; of several passages that match an item the best one is returned; an empty table gives no rows; other
-columns are not read.
+Defined results: null or empty texts and items match nothing; items without an id are items, with a null item_id; a short
+item has its all words as answer; repeated rows are judged each; of several passages that match an item the best one is
+returned; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,25 +37,34 @@ from pyspark.sql import functions as F
 
 from strandflow.llm._text import Words, slices, words
 
-TERMS = 1 << 12
-RANK = 64
-MAX_ITEMS = 20_000
+TERMS = 1 << 13
+RANK = 48
+#: Items that one scan of the documents looks for.
+PART = 20_000
+_LOOK = 20
 
 
 @dataclass
 class Space:
-    """Frozen statistics: each hashed term's latent vector, its IDF built in."""
+    """Frozen statistics: each hashed term's latent vector, its IDF built in, and how many documents have the term."""
 
     latent: np.ndarray
     stride: int
+    df: np.ndarray
 
 
 @dataclass
 class Items:
-    ids: list[int]
+    """Queries. rare: the words that prove a candidate, sorted; the items of rare[x] are owners[cuts[x]:cuts[x + 1]]."""
+
+    ids: list[int | None]
     hashes: list[np.ndarray]
     vectors: np.ndarray
     blocks: np.ndarray
+    least: np.ndarray
+    rare: np.ndarray
+    cuts: np.ndarray
+    owners: np.ndarray
 
 
 def _terms(w: Words) -> np.ndarray:
@@ -74,39 +87,43 @@ def _doc_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], ["term", "n"])
 
 
-def _block_sums(w: Words, table: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, first): table rows summed over blocks of `stride` words of each text; first block of each text."""
-    n = w.counts
-    per = -(-n // stride)
-    first = np.concatenate(([0], np.cumsum(per)))
-    if not first[-1]:
-        return np.zeros((0, table.shape[1]), table.dtype), first
-    starts = np.repeat(w.first[:-1] - first[:-1] * stride, per) + np.arange(first[-1]) * stride
-    return np.add.reduceat(table[_terms(w)], starts, axis=0), first
-
-
-def _range(idf: np.ndarray, omega: np.ndarray, passage: int):
+def _range(idf: np.ndarray, omega: np.ndarray, passage: int, most: int = 2048):
     """Per task: its part of A'A Omega, A's rows being passages of `passage` words scaled to length 1."""
-    table = np.hstack([omega * idf[:, None], (idf**2)[:, None]]).astype(np.float32)
+    table = np.vstack([omega * idf[:, None], np.zeros((1, omega.shape[1]))]).astype(np.float32)
+    weight = np.append(idf, 0.0)
+
+    def add(w: Words, z: np.ndarray) -> None:
+        per = -(-w.counts // passage)
+        first = np.concatenate(([0], np.cumsum(per)))
+        of = np.repeat(first[:-1], w.counts) + (np.arange(len(w.hashes)) - np.repeat(w.first[:-1], w.counts)) // passage
+        t = _terms(w)
+        rows = np.full((first[-1], passage), TERMS, dtype=np.int64)
+        rows[of, (np.arange(len(t)) - np.repeat(w.first[:-1], w.counts)) % passage] = t
+        y = table[rows[:, 0]]
+        for k in range(1, passage):
+            y += table[rows[:, k]]
+        # A term that occurs c times weighs c * idf: squares are taken of runs of equal terms.
+        rows.sort(axis=1)
+        flat = rows.ravel()
+        head = np.flatnonzero(np.append(True, (np.diff(flat) != 0) | (np.arange(1, len(flat)) % passage == 0)))
+        square = (np.diff(np.append(head, len(flat))) * weight[flat[head]]) ** 2
+        y /= np.maximum(np.bincount(head // passage, weights=square, minlength=len(rows)), 1e-9)[:, None]
+        order = np.argsort(t, kind="stable")
+        t, of = t[order], of[order]
+        for a in range(0, len(t), most):
+            head = np.flatnonzero(np.diff(t[a : a + most], prepend=-1))
+            z[t[a : a + most][head]] += np.add.reduceat(y[of[a : a + most]], head, axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros((TERMS, omega.shape[1]))
-        any_ = False
         for batch in batches:
             for b in slices(batch, most=1 << 20):
                 w = words(b.column(0), lower=True)
-                if not len(w.hashes):
-                    continue
-                any_ = True
-                sums, first = _block_sums(w, table, passage)
-                y = sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9)
-                of = np.repeat(first[:-1], w.counts) + (np.arange(len(w.hashes)) - np.repeat(w.first[:-1], w.counts)) // passage
-                t = _terms(w)
-                order = np.argsort(t, kind="stable")
-                head = np.flatnonzero(np.diff(t[order], prepend=-1))
-                z[t[order][head]] += np.add.reduceat(y[of[order]], head, axis=0) * idf[t[order][head], None]
-        if any_:
-            at = np.flatnonzero(np.abs(z).sum(axis=1))
+                if len(w.hashes):
+                    add(w, z)
+        z *= idf[:, None]
+        at = np.flatnonzero(np.abs(z).sum(axis=1))
+        if len(at):
             cols = [pa.array(z[at, k].astype(np.float32)) for k in range(z.shape[1])]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *cols], ["term", *(f"z{k}" for k in range(z.shape[1]))])
 
@@ -132,27 +149,38 @@ def fit(docs: DataFrame, text: str = "text", rank: int = RANK, over: int = 8, st
     val, vec = np.linalg.eigh((small + small.T) / 2)
     good = val > max(1e-9, val.max() * 1e-9) if len(val) else val > 0
     if not good.any():
-        return Space(np.zeros((TERMS, 1), np.float32), stride)
+        return Space(np.zeros((TERMS, 1), np.float32), stride, count)
     f = z @ (vec[:, good] / np.sqrt(val[good]))
     u, s, _ = np.linalg.svd(f, full_matrices=False)
     u, s = u[:, :rank], s[:rank]
     keep = s > s.max() * 1e-6
-    return Space((u[:, keep] / s[keep] * idf[:, None]).astype(np.float32), stride)
+    return Space((u[:, keep] / s[keep] * idf[:, None]).astype(np.float32), stride, count)
 
 
-def prepare(items: list[tuple[int, str]], space: Space) -> Items:
-    """The query side: latent vectors, word hashes and window lengths in blocks."""
-    ids, hashes, vectors, blocks = [], [], [], []
+def prepare(items: list[tuple[int | None, str]], space: Space, lcs: float = 0.8, answer_lcs: float = 0.7) -> Items:
+    """The query side: latent vectors, word hashes, passage lengths in blocks, and each item's rarest words."""
+    ids, hashes, vectors, blocks, least, rare, owner = [], [], [], [], [], [], []
     for i, text in items:
         w = words(pa.array([text], pa.large_string()), lower=True)
-        if not len(w.hashes):
+        n = len(w.hashes)
+        if not n:
             continue
         v = space.latent[_terms(w)].sum(axis=0)
+        need = max(1, int(np.ceil(min(lcs, answer_lcs) * n - 1e-9)))
+        order = np.lexsort((w.hashes, space.df[_terms(w)]))
+        proof = np.unique(w.hashes[order[: n - need + min(2, need)]])
+        rare.append(proof)
+        owner.append(np.full(len(proof), len(ids)))
         ids.append(i)
         hashes.append(w.hashes)
         vectors.append(v / max(float(np.linalg.norm(v)), 1e-12))
-        blocks.append(2 * -(-(-(-len(w.hashes) // space.stride) + 1) // 2))
-    return Items(ids, hashes, np.array(vectors, dtype=np.float32).reshape(len(ids), space.latent.shape[1]), np.array(blocks, dtype=np.int64))
+        blocks.append(2 * -(-(-(-n // space.stride) + 1) // 2))
+        least.append(need)
+    rare, owner = np.concatenate([np.zeros(0, np.uint64), *rare]), np.concatenate([np.zeros(0, np.int64), *owner])
+    order = np.argsort(rare, kind="stable")
+    names, cuts = np.unique(rare[order], return_index=True)
+    vectors = np.array(vectors, dtype=np.float32).reshape(len(ids), space.latent.shape[1])
+    return Items(ids, hashes, vectors, np.array(blocks, dtype=np.int64), np.array(least, dtype=np.int64), names, np.append(cuts, len(rare)), owner[order])
 
 
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -168,89 +196,88 @@ def longest_common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _runs(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, value): start[i], start[i] + 1, ... count[i] values each."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, start[which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words: int, answer_lcs: float):
     stride = space.stride
-    groups = {int(k): np.flatnonzero(items.blocks == k) for k in np.unique(items.blocks)}
-    pad = max(groups, default=1) - 1
     table = np.vstack([space.latent, np.zeros((1, space.latent.shape[1]), np.float32)])
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *items.hashes]))
-    within = np.zeros((len(items.ids), len(vocabulary) + 1), dtype=bool)
-    for j, x in enumerate(items.hashes):
-        within[j, np.searchsorted(vocabulary, x)] = True
-    least = np.array([np.ceil(min(lcs, answer_lcs) * len(x)) for x in items.hashes])
-
-    def rest(known, starts, in_items, which, k, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all windows of k blocks with at least `least` words of the item.
-
-        Only blocks of windows with enough words of any item are counted by item. Such a window's blocks stay
-        neighbours when the other blocks are left out.
-        """
-        rows = np.flatnonzero(in_items[starts + k] - in_items[starts] >= least[which].min())
-        if not len(rows):
-            return rows, rows
-        step = np.zeros(len(in_items), dtype=np.int64)
-        np.add.at(step, starts[rows], 1)
-        np.add.at(step, starts[rows] + k, -1)
-        used = np.flatnonzero(np.cumsum(step) > 0)
-        at = np.searchsorted(used, starts[rows])
-        of = known.reshape(-1, stride)[used]
-        found = []
-        for lo in range(0, len(which), most):
-            j = which[lo : lo + most]
-            has = np.ascontiguousarray(within[j].T).view(np.uint8)
-            per = has[of[:, 0]].astype(np.int32)
-            for r in range(1, stride):
-                per += has[of[:, r]]
-            total = np.zeros((len(used) + 1, len(j)), dtype=np.int32)
-            np.cumsum(per, axis=0, out=total[1:])
-            x, y = np.nonzero(total[at + k] - total[at] >= least[j])
-            found.append((rows[x], j[y]))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    groups = {int(k): np.flatnonzero(items.blocks == k) for k in np.unique(items.blocks)}
+    look = np.zeros(1 << _LOOK, dtype=bool)
+    look[(items.rare >> np.uint64(64 - _LOOK)).astype(np.int64)] = True
+    own = [np.unique(h) for h in items.hashes]
+
+    def hits(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, text, item) of every rare word, in order of words."""
+        at = np.flatnonzero(look[(w.hashes >> np.uint64(64 - _LOOK)).astype(np.int64)])
+        x = np.minimum(np.searchsorted(items.rare, w.hashes[at]), len(items.rare) - 1)
+        ok = items.rare[x] == w.hashes[at]
+        at, x = at[ok], x[ok]
+        which, slot = _runs(items.cuts[x], items.cuts[x + 1] - items.cuts[x])
+        return at[which], np.searchsorted(w.first, at[which], "right") - 1, items.owners[slot]
+
+    def passages(w: Words, first: np.ndarray, word: np.ndarray, text: np.ndarray, same: np.ndarray, need: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, block) of passages of k blocks that hold a hit and, where two are needed, the next one of the same kind too; blocks are counted over all texts."""
+        nxt = np.where(need > 1, np.append(word[1:], 0), word)
+        ok = (need == 1) | np.append((same[1:] == same[:-1]) & (text[1:] == text[:-1]), np.zeros(min(len(word), 1), dtype=bool))
+        lo = np.maximum((nxt - w.first[text]) // stride - k + 1, 0)
+        hi = (word - w.first[text]) // stride
+        count = np.where(ok, np.maximum(hi - lo + 1, 0), 0)
+        which, block = _runs(lo, count)
+        return which, first[text[which]] + block
 
     def candidates(w: Words) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, item, first word, last word + 1, cosine). Blocks of a text are followed by empty ones, so windows end with it."""
+        """(text, item, first word, last word + 1, cosine)."""
         per = -(-w.counts // stride)
-        first = np.concatenate(([0], np.cumsum(per + pad)))
-        terms, known = np.full(first[-1] * stride, TERMS, dtype=np.int64), np.full(first[-1] * stride, len(vocabulary), dtype=np.int64)
-        at = np.repeat(first[:-1] * stride - w.first[:-1], w.counts) + np.arange(len(w.hashes))
-        terms[at] = _terms(w)
-        found = np.minimum(np.searchsorted(vocabulary, w.hashes), max(len(vocabulary) - 1, 0))
-        known[at] = np.where(vocabulary[found] == w.hashes, found, len(vocabulary))
-        terms = terms.reshape(-1, stride)
-        sums = table[terms[:, 0]]
-        for k in range(1, stride):
-            sums += table[terms[:, k]]
-        starts = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(per)[:-1])), per) + np.arange(per.sum())
-        text_of = np.repeat(np.arange(len(per)), per)
-
-        def places(i, j, k, cos):
-            for x, y, z in zip(i, j, cos, strict=True):
-                d = int(text_of[x])
-                begin = int(w.first[d] + (starts[x] - first[d]) * stride)
-                yield d, int(y), begin, int(min(begin + k * stride, w.first[d + 1])), float(z)
-
-        in_items = np.concatenate(([0], np.cumsum((known < len(vocabulary)).reshape(-1, stride).sum(axis=1))))
-        v, reach = sums.copy(), 1
-        for k, which in sorted(groups.items()):
-            for r in range(reach, k):
-                v[: len(sums) - r] += sums[r:]
-            reach = k
-            limit = cosine * np.sqrt(np.einsum("ij,ij->i", v, v))[starts, None]
-            seen = [np.zeros(0, dtype=np.int64)]
-            for lo in range(0, len(which), 512):
-                dot = v[starts] @ items.vectors[which[lo : lo + 512]].T
-                i, j = np.nonzero((dot >= limit) & (limit > 0))
-                j2 = which[lo + j]
-                ok = np.zeros(len(i), dtype=bool)
-                for c in range(0, len(i), 1 << 17):
-                    span = known[(starts[i[c : c + (1 << 17)]] * stride)[:, None] + np.arange(k * stride)]
-                    ok[c : c + (1 << 17)] = within[j2[c : c + (1 << 17), None], span].sum(axis=1) >= least[j2[c : c + (1 << 17)]]
-                seen.append(i[ok] * len(least) + j2[ok])
-                yield from places(i[ok], j2[ok], k, dot[i[ok], j[ok]] * cosine / limit[i[ok], 0])
-            i, j = rest(known, starts, in_items, which, k)
-            new = ~np.isin(i * len(least) + j, np.concatenate(seen))
-            i, j = i[new], j[new]
-            yield from places(i, j, k, np.einsum("ij,ij->i", v[starts[i]], items.vectors[j]) * cosine / np.where(limit[i, 0] > 0, limit[i, 0], np.inf))
+        first = np.concatenate(([0], np.cumsum(per)))
+        word, text, item = hits(w)
+        need = np.minimum(items.least, 2)
+        terms = None
+        for k, which in groups.items():
+            mine = np.flatnonzero(items.blocks[item] == k)
+            if not len(mine):
+                continue
+            x, d, j = word[mine], text[mine], item[mine]
+            new = np.append(True, x[1:] != x[:-1])
+            _, block = passages(w, first, x[new], d[new], d[new], np.full(new.sum(), need[which].min()), k)
+            block = np.unique(block)
+            order = np.lexsort((x, j))
+            hit, exact = passages(w, first, x[order], d[order], j[order], need[j[order]], k)
+            if not len(block):
+                continue
+            terms = _terms(w) if terms is None else terms
+            d = np.searchsorted(first, block, "right") - 1
+            begin = w.first[d] + (block - first[d]) * stride
+            end = np.minimum(begin + k * stride, w.first[d + 1])
+            found = [np.searchsorted(block, exact) * len(items.ids) + j[order][hit]]
+            cos = np.zeros((0, len(which)), np.float32)
+            for lo in range(0, len(block), 1024):
+                b, e = begin[lo : lo + 1024, None], end[lo : lo + 1024, None]
+                v = np.zeros((len(b), table.shape[1]), np.float32)
+                for r in range(k * stride):
+                    at = b[:, 0] + r
+                    v += table[np.where(at < e[:, 0], terms[np.minimum(at, len(terms) - 1)], TERMS)]
+                v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+                near = v @ items.vectors[which].T
+                i, c = np.nonzero(near >= cosine)
+                found.append((lo + i) * len(items.ids) + which[c])
+                cos = np.concatenate([cos, near]) if len(which) * len(block) < 1 << 22 else cos
+            pair = np.unique(np.concatenate(found))
+            at, j = pair // len(items.ids), pair % len(items.ids)
+            place = np.searchsorted(which, j)
+            for x, y, z in zip(at.tolist(), j.tolist(), place.tolist(), strict=True):
+                h = w.hashes[begin[x] : end[x]]
+                if np.isin(h, own[y]).sum() < items.least[y]:
+                    continue
+                if len(cos):
+                    near = float(cos[x, z])
+                else:
+                    v = table[terms[begin[x] : end[x]]].sum(axis=0)
+                    near = float(v @ items.vectors[y] / max(float(np.linalg.norm(v)), 1e-12))
+                yield int(d[x]), y, int(begin[x]), int(end[x]), near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +292,7 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
                     answer = item[-answer_words:]
                     found = longest_common(answer, w.hashes[a:e]) == len(answer)
                     if part >= lcs or (found and part >= answer_lcs):
-                        best[d, j] = max(best.get((d, j), (0.0, 0.0, False)), (part, cos, found))
+                        best[d, j] = max(best.get((d, j), (0.0, -2.0, False)), (part, cos, found))
                 keys = list(best)
                 ids = b.column(0).cast(pa.int64()).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([items.ids[j] for _, j in keys], pa.int64()), pa.array([best[k][1] for k in keys], pa.float64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][2] for k in keys], pa.bool_())], ["doc_id", "item_id", "cosine", "lcs", "answer"])
@@ -273,16 +300,24 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", cosine: float = 0.45, lcs: float = 0.8, answer_words: int = 5, answer_lcs: float = 0.7, **options) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer) for every document and item that match."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"the benchmark has more than {MAX_ITEMS} items: call leaks() on parts of it")
-    space = fit(docs, text, **options)
-    held = docs.sparkSession.sparkContext.broadcast((space, prepare([tuple(r) for r in sorted(items)], space)))
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _leaks_of(d: DataFrame, items: list[tuple[int | None, str]], space: Space, cosine: float, lcs: float, answer_words: int, answer_lcs: float) -> DataFrame:
+    held = d.sparkSession.sparkContext.broadcast((space, prepare(items, space, lcs, answer_lcs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _search(*held.value, cosine, lcs, answer_words, answer_lcs)(batches)
 
     return d.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double, answer boolean")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", cosine: float = 0.45, lcs: float = 0.8, answer_words: int = 5, answer_lcs: float = 0.7, part: int = PART, **options) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer) for every document and item that match."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    parts = max(1, -(-items.count() // part))
+    space = fit(docs, text, **options)
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+        found = _leaks_of(d, sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r)), space, cosine, lcs, answer_words, answer_lcs)
+        out = found if out is None else out.unionByName(found)
+    return out

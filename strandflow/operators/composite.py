@@ -19,7 +19,6 @@ FATIGUE_CYCLES = Op("fatigue_cycles", "SELECT e.event_id, e.end_frame - e.start_
 MECHANISM = Op("mechanism", "SELECT frame, CASE WHEN phase = 'liquid' THEN 'melting' WHEN n > 3 THEN 'nucleation' WHEN worst > 0.5E0 THEN 'ductile' ELSE 'none' END AS mechanism, least(1.0E0, worst) AS severity FROM (SELECT e.frame, e.phase, coalesce(max(n.n), 0) AS n, max(d.damage) AS worst FROM {energy} e LEFT JOIN (SELECT frame, count(*) AS n FROM {nuclei} GROUP BY frame) n ON n.frame = e.frame JOIN {damage} d ON d.frame = e.frame GROUP BY e.frame, e.phase) x")
 EVENT_PROBABILITY = Op("event_probability", "SELECT avg(damage) AS mean, stddev_pop(damage) AS sd, CASE WHEN stddev_pop(damage) > 1E-10 THEN (1 - avg(damage)) / stddev_pop(damage) END AS reliability FROM {events}")
 SOURCES = Op("sources", "SELECT g, out_degree, place FROM (SELECT g, out_degree, row_number() OVER (ORDER BY out_degree DESC, g) AS place FROM {degrees}) p WHERE place <= 3")
-TIMING = Op("timing", "SELECT run_id, avg(timing_error * 1.0E0) AS mean, max(timing_error) AS most, count(*) AS n FROM {detection} GROUP BY run_id")
 FIRST_EVENTS = Op("first_events", "SELECT g, delay, place FROM (SELECT i.g, i.first_frame - e.start_frame AS delay, row_number() OVER (ORDER BY i.first_frame - e.start_frame, i.g) AS place FROM {initiators} i CROSS JOIN (SELECT min(start_frame) AS start_frame FROM {events}) e WHERE i.first_frame >= e.start_frame) p WHERE place <= 3")
 BOND_ANOMALIES = Op("bond_anomalies", "SELECT a.frame, sum(CASE WHEN sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) NOT BETWEEN <lo> AND <hi> THEN 1 ELSE 0 END) AS n_anomalies, count(*) AS n_bonds FROM {traj} a JOIN {traj} b ON b.run_id = a.run_id AND b.frame = a.frame AND b.atom_id = a.atom_id + 1 GROUP BY a.frame", {"lo": 4.0, "hi": 20.0})
 DASHBOARD = Op("dashboard", "SELECT f.run_id, f.frame, f.global_, f.local_, f.final, t.rho_t, c.coherence FROM {scores} f JOIN {tension} t ON t.run_id = f.run_id AND t.frame = f.frame JOIN {coherence} c ON c.run_id = f.run_id AND c.frame = f.frame")

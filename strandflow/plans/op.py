@@ -3,6 +3,8 @@
 An operator is one SELECT with `{input}` places for its inputs and `<param>` places for its scalars. Called with DataFrames it
 is a Spark DataFrame function, which Catalyst optimises together with everything around it. A Plan is a tree of
 operators over sources. It runs in Spark, and for checking it can be written out as one SQL statement for another engine.
+A step that is read more than once, by several operators or several times by one, is computed once and written to the shared
+folder, so a deep plan scans its sources a few times however often its steps are used.
 
 Windowed operators name one input as `halo`. In Spark its rows are dealt to blocks of `block` frames, with the rows within reach
 of a block's edge copied to the neighbour, so a long run is not sorted by one task; results equal those without blocks. Such
@@ -18,6 +20,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.store import written
+
 BLOCK = 100_000
 
 
@@ -31,14 +35,16 @@ def halo_blocks(df: DataFrame, reach: int, order: str = "frame", block: int | No
 
 
 def spark_sql(text: str) -> str:
-    """Dialect places for Spark."""
+    """Dialect places for Spark: PCT( is the interpolated percentile, RANGE(a, b)RANGE a row for each number, HASH32[x] 32 bits of x's MD5."""
     text = re.sub(r"\bPCT\(", "percentile(", text)
+    text = re.sub(r"\bHASH32\[([^\]]*)\]", r"CAST(conv(substr(md5(CAST(\1 AS STRING)), 1, 8), 16, 10) AS BIGINT)", text)
     return re.sub(r"\bRANGE\(", "explode(sequence(", text).replace(")RANGE", "))")
 
 
 def plain_sql(text: str) -> str:
     """The same places for the checking engine."""
     text = re.sub(r"\bPCT\(", "quantile_cont(", text)
+    text = re.sub(r"\bHASH32\[([^\]]*)\]", r"CAST('0x' || substr(md5(CAST(\1 AS VARCHAR)), 1, 8) AS BIGINT)", text)
     return re.sub(r"\bRANGE\(", "unnest(generate_series(", text).replace(")RANGE", "))")
 
 
@@ -52,6 +58,8 @@ class Op:
     halo: tuple[str, str] | None = None
     order: str = "frame"
     doc: str = ""
+    #: A projection of one input: cheaper to repeat than to write.
+    light: bool = False
 
     def render(self, params: dict) -> str:
         text = self.sql
@@ -60,7 +68,12 @@ class Op:
         return text
 
     def reach(self, params: dict) -> int:
-        return int(eval(self.halo[1], {}, {**self.params, **params}))  # noqa: S307  an expression of the library's own
+        """The halo's reach: a number, a parameter's name, or `factor * name`."""
+        given = {**self.params, **params}
+        out = 1
+        for term in self.halo[1].split("*"):
+            out *= int(given.get(term.strip(), term))
+        return out
 
     def __call__(self, **given) -> DataFrame:
         frames = {k: v for k, v in given.items() if isinstance(v, DataFrame)}
@@ -71,9 +84,6 @@ class Op:
         spark = next(iter(frames.values())).sparkSession
         return spark.sql(spark_sql(self.render(params)), **frames)
 
-    def __rshift__(self, other):
-        raise TypeError("compose operators with Plan")
-
 
 @dataclass(frozen=True)
 class Source:
@@ -90,14 +100,38 @@ class Plan:
     inputs: dict
     params: dict = field(default_factory=dict)
 
-    def spark(self, spark: SparkSession, sf_dir: str, made: dict | None = None) -> DataFrame:
-        made = {} if made is None else made
-        frames = {}
-        for k, x in self.inputs.items():
+    def readers(self) -> dict[int, int]:
+        """How often each step below is read, by id; a light step passes its readers on."""
+        order, seen = [], set()
+
+        def visit(x) -> None:
+            if id(x) not in seen:
+                seen.add(id(x))
+                for y in x.inputs.values() if isinstance(x, Plan) else ():
+                    visit(y)
+                order.append(x)
+
+        visit(self)
+        read = {id(x): 0 for x in order} | {id(self): 1}
+        for x in reversed(order):
+            for k, y in x.inputs.items() if isinstance(x, Plan) else ():
+                read[id(y)] += x.op.sql.count("{" + k + "}") * (read[id(x)] if x.op.light else 1)
+        return read
+
+    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The result in Spark: steps with several readers are written once."""
+        read, made = self.readers(), {}
+
+        def make(x) -> DataFrame:
             if id(x) not in made:
-                made[id(x)] = x.read(spark, sf_dir) if isinstance(x, Source) else x.spark(spark, sf_dir, made)
-            frames[k] = made[id(x)]
-        return self.op(**frames, **self.params)
+                if isinstance(x, Source):
+                    made[id(x)] = x.read(spark, sf_dir)
+                else:
+                    df = x.op(**{k: make(y) for k, y in x.inputs.items()}, **x.params)
+                    made[id(x)] = written(df, x.op.name) if x is not self and read[id(x)] > 1 and not x.op.light else df
+            return made[id(x)]
+
+        return make(self)
 
     def statement(self) -> str:
         """One SQL statement with a common table expression for every step."""

@@ -36,8 +36,7 @@ QUERIES_ = {
     "grp6_first_groups": Query(Plan(k.FIRST_EVENTS, {"initiators": INIT, "events": d.EVENTS}), "g delay place"),
     "grp12_event_probability": Query(Plan(k.EVENT_PROBABILITY, {"events": q.EVENTS}), "~mean ~sd ~reliability", digits=4),
     "grp13_sources": Query(Plan(k.SOURCES, {"degrees": DEGREES}), "g place"),
-    "evl2_timing": Query(Plan(k.TIMING, {"detection": n.DETECTED}), "run_id ~mean most n"),
-    "asm3_bond_anomalies": Query(Plan(k.BOND_ANOMALIES, {"traj": TRAJ}), "frame CAST(n_anomalies/**/AS/**/BIGINT)/**/AS/**/n_anomalies n_bonds"),
+    "asm3_bond_anomalies": Query(Plan(k.BOND_ANOMALIES, {"traj": TRAJ}), "frame #n_anomalies n_bonds"),
     "viz1_dashboard": Query(Plan(k.DASHBOARD, {"scores": d.FINAL, "tension": c.TENSION, "coherence": c.COHERENCE}), "run_id frame ~global_ ~local_ ~final ~rho_t ~coherence"),
 }
 

@@ -12,7 +12,7 @@ from strandflow.sources.adapters import HOURLY
 
 def as_series(plan: Plan, column: str, run: str = "run_id") -> Plan:
     """One column of a plan's result as (run_id, frame, v)."""
-    return Plan(Op("series_of", f"SELECT {run} AS run_id, frame, {column} AS v FROM {{x}}"), {"x": plan})
+    return Plan(Op("series_of", f"SELECT {run} AS run_id, frame, {column} AS v FROM {{x}}", light=True), {"x": plan})
 
 
 LF = as_series(c.FLOW, "lf_mag")

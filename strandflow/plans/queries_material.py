@@ -89,7 +89,7 @@ QUERIES_ = {
     "asm7_summary": Query(Plan(i.SUMMARY, {"signatures": SIGN}), "pattern signature n ~confidence"),
     "ant1_contribution": Query(Plan(i.CDR, {"stats": Plan(c.f.GROUP_FRAME_STATS, {"traj": TRAJ, "member": c.RESIDUES})}), "group_id ~contribution ~affinity"),
     "ant2_paratope": Query(Plan(i.PARATOPE, {"coordination": c.COORD}), "atom_id ~frequency"),
-    "rpt1_summary": Query(Plan(i.REPORT, {"series": d.FINAL_S}), "run_id ~mean ~std ~most ~least_ CAST(over2/**/AS/**/BIGINT)/**/AS/**/over2 CAST(over3/**/AS/**/BIGINT)/**/AS/**/over3 n"),
+    "rpt1_summary": Query(Plan(i.REPORT, {"series": d.FINAL_S}), "run_id ~mean ~std ~most ~least_ #over2 #over3 n"),
     "rpt2_hourly_summary": Query(Plan(i.REPORT, {"series": HOURLY}), "run_id ~mean ~std ~most n", digits=9),
     "viz2_flow_table": Query(Plan(i.FLOW_TABLE, {"links": n.LINKS}), "from_id to_id ~width style"),
     "viz3_heatmap": Query(Plan(i.HEATMAP, {"series": HOURLY}), "run_id bin ~level", digits=9),

@@ -11,23 +11,22 @@ from strandflow.plans.op import Plan
 
 @dataclass(frozen=True)
 class Query:
-    """columns: names, apart by blanks; `~name` is rounded to `digits`."""
+    """columns: names, apart by blanks; `~name` is rounded to `digits`, `#name` is a count (BIGINT). sql: an independent statement for the check."""
 
     plan: Plan
     columns: str
     digits: int = 6
+    sql: str | None = None
 
-    def _select(self) -> str:
-        return ", ".join(f"round({c[1:]}, {self.digits}) + 0.0E0 AS {c[1:]}" if c[0] == "~" else c for c in self.columns.split())
+    def exprs(self) -> list[str]:
+        form = {"~": lambda c: f"round({c}, {self.digits}) + 0.0E0 AS {c}", "#": lambda c: f"CAST({c} AS BIGINT) AS {c}"}
+        return [form[c[0]](c[1:]) if c[0] in form else c for c in self.columns.split()]
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.plan.spark(spark, sf_dir).selectExpr(*self._exprs())
-
-    def _exprs(self) -> list[str]:
-        return [f"round({c[1:]}, {self.digits}) + 0.0D AS {c[1:]}" if c[0] == "~" else c for c in self.columns.split()]
+        return self.plan.spark(spark, sf_dir).selectExpr(*self.exprs())
 
     def oracle(self) -> str:
-        return f"SELECT {self._select()} FROM ({self.plan.statement()}) result_"
+        return f"SELECT {', '.join(self.exprs())} FROM ({self.sql or self.plan.statement()}) result_"
 
 
 def tables(queries: dict[str, Query]) -> tuple[dict, dict]:

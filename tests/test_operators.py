@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from strandflow.operators import detect, features, flow, network, sequential, series
-from strandflow.plans.op import Plan
+from strandflow.plans.op import Plan, Source
 from strandflow.sources import files
 
 
@@ -88,8 +88,76 @@ def test_events_are_runs_above_the_threshold(spark):
 def test_lagged_copy_is_found(spark):
     v = np.random.default_rng(3).normal(size=300)
     both = frame(spark, v, "a").unionByName(frame(spark, np.roll(v, 20), "b"))
-    links = network.CAUSAL_LINKS(profile=network.LAG_PROFILE(series=both)).toPandas()
-    assert links[["from_id", "to_id", "lag"]].to_numpy().tolist() == [["a", "b", 20]]
+    pairs = spark.createDataFrame([("a", "b", 3.0)], "i string, j string, distance double")
+    links = network.CAUSAL_LINKS(profile=network.LAG_PROFILE(series=both, pairs=pairs), pairs=pairs).toPandas()
+    assert links[["from_id", "to_id", "lag", "distance"]].to_numpy().tolist() == [["a", "b", 20, 3.0]]
+    back = spark.createDataFrame([("b", "c", 1.0)], "i string, j string, distance double")
+    late = frame(spark, np.roll(v, 10), "b").unionByName(frame(spark, v, "c"))
+    links = network.CAUSAL_LINKS(profile=network.LAG_PROFILE(series=late, pairs=back), pairs=back).toPandas()
+    assert links[["from_id", "to_id", "lag"]].to_numpy().tolist() == [["c", "b", 10]]
+
+
+@pytest.mark.parametrize("n", [199, 200])
+def test_bootstrap_errors_are_those_of_theory(spark, n):
+    r = np.random.default_rng(8)
+    x = r.normal(size=n)
+    y = 0.6 * x + 0.8 * r.normal(size=n)
+    both = frame(spark, x, "x").unionByName(frame(spark, y, "y"))
+    got = network.BOOTSTRAP_STATISTICS(series=both, reps=400).toPandas().set_index(["g", "stat"])
+    assert np.isclose(got["se"]["x", "mean"], x.std() / np.sqrt(n), rtol=0.15) and abs(got["bias"]["x", "mean"]) < 0.2 * x.std() / np.sqrt(n)
+    want = {"mean": x.mean(), "var": x.var(), "std": x.std(), "median": np.median(x), "max": x.max(), "min": x.min()}
+    assert all(np.isclose(got["estimate"]["x", k], v) for k, v in want.items())
+    c = network.BOOTSTRAP_CORRELATION(series=both, reps=400).toPandas().iloc[0]
+    rho = np.corrcoef(x, y)[0, 1]
+    assert np.isclose(c["estimate"], rho) and c["lo"] < rho < c["hi"] and np.isclose(c["se"], (1 - rho**2) / np.sqrt(n), rtol=0.25)
+
+
+def test_permutation_and_null_p_values(spark):
+    r = np.random.default_rng(9)
+    x, y, z = r.normal(size=60), r.normal(size=60), r.normal(size=60) + 1
+    got = network.PERMUTATION(series=frame(spark, x, "x").unionByName(frame(spark, y, "y")).unionByName(frame(spark, z, "z")), reps=500).toPandas().set_index(["i", "j"])
+    assert np.isclose(got["observed"]["x", "z"], x.mean() - z.mean()) and got["p_two"]["x", "z"] < 0.01 and got["p_less"]["x", "z"] < 0.01 < got["p_greater"]["x", "z"]
+    both = np.concatenate((x, y))
+    own = np.array([(lambda p: both[p[:60]].mean() - both[p[60:]].mean())(r.permutation(120)) for _ in range(4000)])
+    assert abs(got["p_two"]["x", "y"] - (abs(own) >= abs(x.mean() - y.mean())).mean()) < 0.08
+    smooth = np.convolve(r.normal(size=204), np.ones(5) / 5, mode="valid")
+    p = network.NULL_P_VALUE(series=frame(spark, smooth, "s").unionByName(frame(spark, r.normal(size=200), "w")), reps=300).toPandas().set_index("g")
+    assert p["significant"]["s"] and np.isclose(p["observed"]["s"], ((smooth - smooth.mean())[1:] * (smooth - smooth.mean())[:-1]).sum() / (smooth.var() * 200))
+
+
+def test_areas_under_curves(spark):
+    r = np.random.default_rng(10)
+    v, truth = np.round(r.normal(size=80), 1), r.random(80) < 0.3
+    got = network.ROC(scored=spark.createDataFrame(pd.DataFrame({"run_id": "r", "v": v, "truth": truth}))).toPandas().iloc[0]
+    pos, neg = v[truth][:, None], v[~truth][None]
+    assert np.isclose(got["roc_auc"], ((pos > neg) + 0.5 * (pos == neg)).mean()) and np.isclose(got["fpr"], (v[~truth] > 2).mean())
+    levels = np.unique(v)[::-1]
+    precision, recall = [1.0], [0.0]
+    for t in levels:
+        precision.append(truth[v >= t].mean())
+        recall.append((truth & (v >= t)).sum() / truth.sum())
+    assert np.isclose(got["pr_auc"], np.trapezoid(precision, recall))
+
+
+def test_short_events_follow_the_transition_rules(spark):
+    rows = []
+    for event, series_ in {0: {"a": [0, 1], "b": [0, 2], "c": [0, -2]}, 1: {"a": [0, 1, 0], "b": [0, 0.2, 0.5], "c": [1, 1, 1]}, 2: {"a": [0, 0, 0, 1, 1, 1], "b": [1, 1, 1, 0, 0, 0.3], "c": [0] * 6}}.items():
+        rows += [(event, g, t, len(v), float(x)) for g, v in series_.items() for t, x in enumerate(v)]
+    inside = spark.createDataFrame(rows, "event_id int, g string, t int, n int, v double")
+    pairs = spark.createDataFrame([(i, j, 5.0) for i, j in (("a", "b"), ("a", "c"), ("b", "c"))], "i string, j string, distance double")
+    got = {(r.event_id, r.from_id, r.to_id, r.kind, r.lag, r.strong, round(r.strength, 6)) for r in network.TRANSITION_LINKS(inside=inside, pairs=pairs).collect()}
+    assert got == {(0, "a", "b", "tunneling", 0, True, round(2**0.5, 6)), (1, "a", "b", "jump", 1, True, 1.0), (2, "a", "b", "causal", 3, True, 1.0)}
+
+
+def test_shared_steps_are_written_once(spark):
+    from strandflow.plans.op import Op
+
+    one = Plan(Op("one", "SELECT run_id, frame, v + 1 AS v FROM {x} WHERE v > 0"), {"x": Source("s", lambda spark, _: frame(spark, [1.0, 2.0]), "")})
+    thin = Plan(Op("thin", "SELECT run_id, frame, v FROM {x}", light=True), {"x": one})
+    both = Plan(Op("both", "SELECT a.frame, a.v + b.v + c.v AS v FROM {a} a JOIN {b} b ON b.frame = a.frame JOIN {a} c ON c.frame = a.frame"), {"a": thin, "b": one})
+    assert both.readers()[id(one)] == 3
+    out = both.spark(spark, "")
+    assert len(out.inputFiles()) > 0 and sorted(r.v for r in out.collect()) == [6.0, 9.0]
 
 
 def test_peaks_keep_their_distance(spark):

@@ -1,23 +1,24 @@
 """Exact deduplication over a sharded cuckoo-filter index of live digests.
 
-Texts are equal when identical after deleting ASCII white space. Map tasks turn texts into SHA-256 digests and fold
-the copies of their own split, so that a digest leaves a split at most once. Digest prefixes deal the rest to index
-shards. In a shard each digest is looked up in a cuckoo filter: a miss is new and is inserted, a hit is verified
-against the digests stored in its bucket (a fingerprint that merely collides is stored besides). A filter that
-overflows is built anew at twice the size from the stored keys. Documents can be taken out of the index again.
+Texts are equal when identical after deleting ASCII white space. A row's digest is the SHA-256 of that text. Splits fold their
+own copies, so that a digest leaves a split at most once, and digests are dealt to index shards by hash.
+
+A shard keeps a cuckoo filter in memory (two bytes a live digest, besides 16 bytes of each key to resize from), no digests
+and no rows. A digest that the filter does not hold is new: it is inserted and becomes content. A digest that it may hold is a
+hit, and hits are verified against the content by a join on the digest, which both sides are dealt by; a hit without content
+was a collision of fingerprints and is content of its own. A filter that overflows is built anew at twice the size from the
+stored keys. Digests can be taken out of the index again: `retire` deletes those that the filter may hold, verified likewise.
 
 Defined results: null counts as empty text, and all empty texts are equal; of equal texts the row with the most code
-points stays, then the smallest doc_id (null last), and of repeated rows that tie in both any one; an empty table
-gives no rows; other columns are not read.
+points stays, then the smallest doc_id (null last), and of repeated rows that tie in both the first one; an empty table
+gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ class CuckooFilter:
     SLOTS, KICKS = 4, 400
 
     def __init__(self, capacity: int = 1024):
+        """Room for `capacity` keys at a load of 0.9."""
         self.mask = 1
         while self.mask * self.SLOTS < capacity / 0.9:
             self.mask <<= 1
@@ -79,103 +81,86 @@ class CuckooFilter:
         return False
 
 
-class DigestIndex:
-    """A cuckoo filter with the stored keys behind it: digest -> value. Bounded by the digests of one index shard."""
+class DigestFilter:
+    """A cuckoo filter that grows: it keeps 16 bytes of each live key, to be built anew from."""
+
+    KEY = 16
 
     def __init__(self, capacity: int = 1024):
-        self.filter, self.stored, self.resizes = CuckooFilter(capacity), {}, 0
+        self.filter, self.keys, self.resizes = CuckooFilter(capacity), bytearray(), 0
 
-    def get(self, key: bytes):
-        """The value of a live digest, or None; most misses end at the filter."""
-        return self.stored.get(key) if key in self.filter else None
+    def __contains__(self, key: bytes) -> bool:
+        return key in self.filter
 
-    def put(self, key: bytes, value) -> None:
-        known = key in self.filter and key in self.stored
-        self.stored[key] = value
-        if not known and not self.filter.insert(key):
+    def put(self, key: bytes) -> None:
+        self.keys += key[: self.KEY]
+        if not self.filter.insert(key):
             self._resize()
 
-    def delete(self, key: bytes) -> bool:
-        if key not in self.stored:
-            return False
-        del self.stored[key]
-        return self.filter.delete(key)
-
     def _resize(self) -> None:
         room = 2 * self.filter.table.size
+        view = bytes(self.keys)
         while True:
             self.filter, self.resizes = CuckooFilter(room), self.resizes + 1
-            if all(self.filter.insert(k) for k in self.stored):
+            if all(self.filter.insert(view[at : at + self.KEY]) for at in range(0, len(view), self.KEY)):
                 return
             room *= 2
 
 
-_DIGESTS = "doc_id long, n_code long, digest binary"
-_FOLDED = "digest binary, n_code long, doc_id long, row long, copies long"
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute as pc
-
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One index shard: `hit` tells of every digest whether the filter may have held it already."""
+    index = DigestFilter()
     for b in batches:
-        texts = b.column(1).cast(pa.large_string()).fill_null("")
-        _, off, data = texts.buffers()
-        off = np.frombuffer(off, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        view = memoryview(data) if data is not None else memoryview(b"")
-        out = [hashlib.sha256(bytes(view[off[i] : off[i + 1]]).translate(None, SPACES)).digest() for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pc.utf8_length(texts).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_code", "digest"])
-
-
-Best = tuple[int, bool, int, int]
+        hit = []
+        for digest in b.column(0).to_pylist():
+            hit.append(digest in index)
+            if not hit[-1]:
+                index.put(digest)
+        yield b.append_column("hit", pa.array(hit, pa.bool_()))
 
 
-def _best(n_code, doc_id, row) -> Best:
-    """The order in which rows stay: most code points, smallest doc_id, null last, first row."""
-    none = doc_id is None or doc_id is pd.NA or doc_id != doc_id
-    return -int(n_code), none, 0 if none else int(doc_id), int(row)
-
-
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The copies of one split as one row a digest; holds at most the digests of that split."""
-    held: dict[bytes, tuple[Best, int]] = {}
-    for f in frames:
-        for digest, n, doc, row in zip(f["digest"], f["n_code"], f["doc_id"], f["row"], strict=True):
-            digest, this = bytes(digest), _best(n, doc, row)
-            was = held.get(digest)
-            held[digest] = (this, 1) if was is None else (min(was[0], this), was[1] + 1)
-    yield from _frames(held)
-
-
-def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One index shard: folded rows in, one row per live digest out."""
-    index = DigestIndex()
-    for f in frames:
-        for digest, n, doc, row, copies in zip(f["digest"], f["n_code"], f["doc_id"], f["row"], f["copies"], strict=True):
-            digest, this = bytes(digest), _best(n, doc, row)
-            was = index.get(digest)
-            index.put(digest, (this, int(copies)) if was is None else (min(was[0], this), was[1] + int(copies)))
-    yield from _frames(index.stored)
-
-
-def _frames(held: dict[bytes, tuple[Best, int]], most: int = 10_000) -> Iterator[pd.DataFrame]:
-    keys = list(held)
-    for at in range(0, len(keys), most):
-        part = keys[at : at + most]
-        best = [held[k][0] for k in part]
-        yield pd.DataFrame({"digest": part, "n_code": [-b[0] for b in best], "doc_id": pd.array([None if b[1] else b[2] for b in best], dtype="Int64"), "row": [b[3] for b in best], "copies": [held[k][1] for k in part]})
+def _leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, gone) of one shard, the live ones first: the digests to take out that the filter holds. Each leaves it as it goes."""
+    index = DigestFilter()
+    for b in batches:
+        out = []
+        for digest, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if not gone:
+                index.put(digest)
+            elif index.filter.delete(digest):
+                out.append(digest)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["digest"])
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_code, digest, row) of every row, written once; `row` tells repeated rows apart."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_digests, _DIGESTS)
+    said = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(F.translate(said, SPACES.decode(), ""), 256))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.char_length(said).cast("long").alias("n_code"), digest.alias("digest"))
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
+#: The order in which rows stay: most code points, then smallest doc_id, null last, then the first row.
+_BEST = "struct(-n_code AS down, doc_id IS NULL AS none, doc_id, row)"
+
+
 def live_digests(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, keep_row, group_size) per digest: folded in each split, then dealt to the index shards."""
-    folded = rows.mapInPandas(_fold, _FOLDED)
-    index = folded.repartition(F.col("digest")).mapInPandas(_index, _FOLDED)
-    return index.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("copies").alias("group_size"))
+    """(digest, keep_id, keep_row, group_size) per digest: folded by splits, through the index shards, hits verified against content."""
+    folded = rows.groupBy("digest", F.spark_partition_id().alias("split")).agg(F.min(F.expr(_BEST)).alias("best"), F.count("*").alias("copies"))
+    seen = folded.select("digest", "best", "copies").repartition(F.col("digest"))
+    seen = written(seen.mapInArrow(_shard, "digest binary, best struct<down: long, none: boolean, doc_id: long, row: long>, copies long, hit boolean"), "index")
+    hits = seen.where("hit").groupBy("digest").agg(F.min("best").alias("more"), F.sum("copies").alias("again"))
+    both = seen.where("not hit").select("digest", "best", "copies").join(hits, "digest", "full_outer")
+    best = F.least(F.coalesce("best", "more"), F.coalesce("more", "best"))
+    size = F.coalesce("copies", F.lit(0)) + F.coalesce("again", F.lit(0))
+    return both.select("digest", best.alias("b"), size.alias("group_size")).select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.row").alias("keep_row"), "group_size")
+
+
+def retire(live: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of live (digest, ...) whose digest is not in gone (digest)."""
+    rows = live.select("digest", F.lit(False).alias("gone")).unionByName(gone.select("digest").distinct().withColumn("gone", F.lit(True)))
+    leaving = rows.repartition(F.col("digest")).sortWithinPartitions("gone").mapInArrow(_leaving, "digest binary")
+    return live.join(leaving.distinct(), "digest", "left_anti")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

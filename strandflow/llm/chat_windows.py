@@ -1,15 +1,16 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns become windows of at most `budget` tokens. Prefix sums of turn tokens give each window's span,
-always of whole turns; a leading system turn is retained in every window, and up to `history` turns before the span are
-repeated if they fit. The loss mask covers the assistant texts of the span only, so repeated turns are never targets
-twice. Turns are marked by `<s>[role]` and `</s>`; in roles and texts `\\`, `<`, `[` and `]` are written as
+A conversation's turns become windows of at most `budget` tokens. Prefix sums of turn tokens choose each window's span, always of
+whole turns: the span from turn i holds every turn up to j with sum(j) - sum(i) within what the budget leaves. A leading system
+turn is retained in every later window that has room for it beside the span's first turn, and up to `history` turns
+before the span are repeated as far as they fit. The loss mask covers the assistant texts of the span only, so repeated turns
+are never targets twice. Turns are marked by `<s>[role]` and `</s>`; in roles and texts `\\`, `<`, `[` and `]` are written as
 `\\\\`, `\\l`, `\\b` and `\\d`, so no control string can occur in them and all is read back as it was.
 
-Defined results: null text and null roles count as empty; turns are ordered by turn (null first), then role and text,
-so ties and repeated rows have a fixed order and each counts; a turn above the budget is a window of its own, whole;
-an empty table gives no rows; other columns are not read. Rows stream through the task in order: memory holds one
-window, not the conversation.
+Defined results: null text and null roles count as empty; rows without a conv_id are one conversation without an id; turns are
+ordered by turn (null first), then role and text, so ties and repeated rows have a fixed order and each counts; a window is above
+the budget only if it is one turn that is; an empty table gives no rows; other columns, whatever their names, are not read. Rows
+stream through the task in order: memory holds one window, not the conversation.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,50 +66,52 @@ def parse_window(formatted: str) -> list[Turn]:
 
 def windows(turns: Iterator[Turn], budget: int, history: int, count: Callable[[str], int] = tokens) -> Iterator[tuple[list[Turn], int, int]]:
     """(turns, how many of them are repeated, tokens) of each window of one conversation."""
-    system: list[tuple[Turn, int]] = []
-    past: list[tuple[Turn, int]] = []
-    span: list[tuple[Turn, int]] = []
-    lead: list[tuple[Turn, int]] = []
-    used = 0
-    first = True
+    system: tuple[Turn, int, int] | None = None
+    lead: list[tuple[Turn, int, int]] = []
+    span: list[tuple[Turn, int, int]] = []
+    total = kept = 0  # tokens of all turns so far; tokens of the lead
+
+    def window():
+        return [t for t, _, _ in lead + span], len(lead), kept + total - span[0][2]
+
+    def start(n: int) -> tuple[list[tuple[Turn, int, int]], int]:
+        """What a span whose first turn has n tokens repeats: the system turn, then the last turns, by their sums."""
+        past = [p for p in lead + span if p is not system]
+        first = [system] if system and system[1] + n <= budget else []
+        used = n + sum(k for _, k, _ in first)
+        tail: list[tuple[Turn, int, int]] = []
+        for old in reversed(past[-history:] if history else []):
+            if used + old[1] > budget:
+                break
+            tail.insert(0, old)
+            used += old[1]
+        return first + tail, used - n
+
     for turn in turns:
         n = count(turn[1])
-        if span and used + n > budget:
-            yield [t for t, _ in lead + span], len(lead), used
-            past = (past + span)[-history:] if history else []
-            lead, used = list(system), sum(k for _, k in system)
-            tail: list[tuple[Turn, int]] = []
-            for old in reversed([p for p in past if not (system and p is system[0])]):
-                if used + n + old[1] > budget:
-                    break
-                tail.insert(0, old)
-                used += old[1]
-            lead, span = lead + tail, []
-        item = (turn, n)
-        if first and turn[0] == "system":
-            system = [item]
-        first = False
+        if span and kept + total + n - span[0][2] > budget:
+            yield window()
+            lead, kept = start(n)
+            span = []
+        item = (turn, n, total)
+        if not total and not span and turn[0] == "system" and system is None:
+            system = item
+        total += n
         span.append(item)
-        used += n
     if span:
-        yield [t for t, _ in lead + span], len(lead), used
-
-
-def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for f in frames:
-        yield from zip(f["conv_id"].tolist(), f["role"].tolist(), f["text"].tolist(), strict=True)
+        yield window()
 
 
-def _conversations(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[Turn]]]:
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[Turn]]]:
     """Consecutive rows of a conversation, streamed: each inner iterator is read to its end before the next one starts."""
-    rows = _rows(frames)
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
     ahead = next(rows, None)
     while ahead is not None:
         conv = ahead[0]
 
         def turns(conv=conv) -> Iterator[Turn]:
             nonlocal ahead
-            while ahead is not None and (ahead[0] == conv or (ahead[0] != ahead[0] and conv != conv)):
+            while ahead is not None and ahead[0] == conv:
                 now, ahead = ahead, next(rows, None)
                 yield now[1], now[2]
 
@@ -116,50 +119,54 @@ def _conversations(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Ite
 
 
 def _format(budget: int, history: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
-        for conv, turns in _conversations(frames):
+        for conv, turns in _conversations(batches):
             for k, (part, repeated, used) in enumerate(windows(turns, budget, history)):
                 text, loss = format_window(part, repeated)
                 out.append((conv, k, repeated, used, text, [a for a, _ in loss], [b for _, b in loss]))
                 size += len(text)
                 if size > 4 << 20:
-                    yield _frame(out)
+                    yield _table(out, SCHEMA)
                     out, size = [], 0
         if out:
-            yield _frame(out)
+            yield _table(out, SCHEMA)
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["conv_id", "window", "n_repeated", "n_tokens", "formatted", "loss_start", "loss_end"])
-    return f.astype({"conv_id": "Int64"})
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
 
 def format_conversations(turns: DataFrame, budget: int = 512, history: int = 2) -> DataFrame:
     """One row per window: (conv_id, window, n_repeated, n_tokens, formatted, loss_start, loss_end)."""
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return t.mapInPandas(_format(budget, history), SCHEMA)
+    return t.mapInArrow(_format(budget, history), SCHEMA)
+
+
+_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows, in order, back to digests of their conversations: reads only what was formatted."""
     out: list[tuple] = []
-    conv, state = object(), None
+    conv, state = None, None
 
     def close() -> None:
         if state:
-            out.append((None if conv is pd.NA or conv != conv else conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+            out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
-    for f in frames:
-        for c, repeated, text, starts, ends in zip(f["conv_id"].tolist(), f["n_repeated"], f["formatted"], f["loss_start"], f["loss_end"], strict=True):
-            if state is None or not (c == conv or (c != c and conv != conv)):
+    for batch in batches:
+        for c, repeated, text, starts, ends in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if state is None or c != conv:
                 close()
                 conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, said in parse_window(text)[int(repeated) :]:
+            for role, said in parse_window(text)[repeated:]:
                 state[0] += 1
                 state[1].update(f"{role}\n{said}\n".encode())
             for a, b in zip(starts, ends, strict=True):
@@ -167,9 +174,12 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 state[2] += len(said)
                 state[3].update(said.encode())
             state[4] += len(text)
+        if len(out) > 10_000:
+            yield _table(out, _READ)
+            out = []
     close()
     if out:
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+        yield _table(out, _READ)
 
 
 def read_back(formatted: DataFrame, dealt: bool = False) -> DataFrame:
@@ -178,4 +188,4 @@ def read_back(formatted: DataFrame, dealt: bool = False) -> DataFrame:
     dealt: `formatted` is the plan of format_conversations itself, whose partitions hold whole conversations in order.
     """
     f = formatted if dealt else formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "window")
-    return f.select("conv_id", "n_repeated", "formatted", "loss_start", "loss_end").mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return f.select("conv_id", "n_repeated", "formatted", "loss_start", "loss_end").mapInArrow(_digest, _READ)

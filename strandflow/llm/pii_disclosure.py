@@ -4,8 +4,8 @@ Base entities (email, ip, card, phone) come from patterns. Around each occurrenc
 context. Over the whole corpus, n(t, e) counts occurrences of term t in contexts of entity e and n(t) all its
 occurrences, so n(t, e) / n(t) estimates p(e | t), how surely the term reveals the entity (2^PMI times p(e)). Terms
 with at least `support` occurrences in contexts and p(e | t) of at least `disclose` become spans of kind `term` wherever
-they occur, in contexts or not, with the largest p of their entities; sanitising removes those of at least `remove` and
-generalises the others.
+they occur, in contexts or not, with the largest p of their entities. Sanitising puts an entity's kind in its place, removes terms
+of at least `remove`, and generalises the others to what kind of word they are (number, code, name or word).
 
 Three scans: contexts, counts of the terms in them, and the spans of every row, where a bit set thins the words before the
 exact join with the terms. Rows are told apart by a number of the last scan, so none of them needs a key.
@@ -225,26 +225,42 @@ def spans_text(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+def generalised(term: str) -> str:
+    """What kind of word a term is."""
+    if any(c.isdigit() for c in term):
+        return "<NUMBER>" if not any(c.isalpha() for c in term) else "<CODE>"
+    return "<NAME>" if term[:1].isupper() else "<WORD>"
+
+
+def rewrite(text: str, spans: list[dict], remove: float) -> str:
+    """The text without its spans (start, kind, end, p; sorted). Spans that overlap are one, in the kind of the first."""
+    parts, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            own = text[s["start"] : s["end"]]
+            parts += [text[at : s["start"]], f"<{KINDS[s['kind']].upper()}>" if s["kind"] < 4 else "" if s["p"] >= remove else generalised(own)]
+        at = max(at, s["end"])
+    return "".join(parts) + text[at:]
+
+
 def _rewrite(remove: float):
+    """Rows (text, spans, ...): ..., safe."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts, at = [], 0
-                for s in spans or []:
-                    if text is None or s["start"] < at:
-                        continue
-                    parts += [text[at : s["start"]], "" if s["kind"] == 4 and s["p"] >= remove else f"<{KINDS[s['kind']].upper()}>"]
-                    at = s["end"]
-                out.append(None if text is None else "".join(parts) + text[at:])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+            out = [None if t is None else rewrite(t, s or [], remove) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.string())], [*b.schema.names[2:], "safe"])
 
     return run
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = 0.9, **options) -> DataFrame:
-    """(doc_id, text): entities and generalised terms become their kind in angle brackets, removed terms go.
+def with_safe(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = 0.9, **options) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, safe): what all_spans finds, and the sanitised text, null for null."""
+    found = _all_spans(docs, True, key, text, **options)
+    rows = found.select("kept", F.col("spans").alias("spans_"), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text("spans").alias("spans"))
+    return rows.mapInArrow(_rewrite(remove), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, safe string")
 
-    Every row keeps its own spans, whatever its key; where spans overlap the first one counts.
-    """
-    return _all_spans(docs, True, key, text, **options).select("doc_id", F.col("kept").alias("text"), "spans").mapInArrow(_rewrite(remove), "doc_id long, text string")
+
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = 0.9, **options) -> DataFrame:
+    """(doc_id, text): every row's own text without its entities and disclosing terms, whatever its key."""
+    return with_safe(docs, key, text, remove, **options).select("doc_id", F.col("safe").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandflow.llm._session import table
 from strandflow.llm.langid_ppm import identify, train
 from strandflow.llm.latent_decontamination import leaks
-from strandflow.llm.pii_disclosure import all_spans, spans_text
+from strandflow.llm.pii_disclosure import with_safe
 
 
 def held_out() -> F.Column:
@@ -29,9 +29,9 @@ def op4_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's entities and the terms that reveal them."""
-    found = all_spans(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text("spans").alias("spans"))
+    """Every document's entities, the terms that reveal them, and a digest of the sanitised text."""
+    found = with_safe(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.sha2(F.coalesce("safe", F.lit("")), 256).alias("safe_sha256"))
 
 
 QUERIES = {"op3_latent_decontamination": op3_latent_decontamination, "op4_langid_ppm": op4_langid_ppm, "op9_pii_disclosure": op9_pii_disclosure}

@@ -2,7 +2,9 @@
 
 Every record hashes into one of a fixed number of virtual slots. Bytes are aggregated per slot, and a
 versioned slot-to-shard map, a table of at most `slots` rows, places whole slots. Rebalancing edits the
-map; records keep their slots for ever. All of it is DataFrame functions.
+map; records keep their slots for ever. All of it is DataFrame functions. The map is a stored table: `save_map` adds a version as
+a folder of Parquet, `load_map` reads one or the latest, and `grow` reads the latest, gives slots to one more shard and stores
+the result as the next version.
 
 Defined results: null text has 0 bytes (its record still counts the fixed overhead) and CRC-32 0; a null
 key hashes as the empty string; repeated rows share a slot and get places of their own; an empty table
@@ -11,9 +13,13 @@ gives an empty map and no rows; other columns, whatever their names, are not rea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandflow.llm._store import shared_dir, written
+
 SLOTS = 4096
 OVERHEAD = 16
 
@@ -55,17 +61,33 @@ def add_shard(slot_map: DataFrame, slot_sizes: DataFrame, shards: int) -> DataFr
     """The next version for shards + 1: the new shard takes slots from shards above the new mean, nothing else moves."""
     fresh = slot_sizes.select("slot", "bytes").join(F.broadcast(slot_map.select("slot", "shard", "version")), "slot", "left")
     fresh = fresh.select("slot", "bytes", F.coalesce("shard", F.pmod("slot", F.lit(shards))).alias("shard"), F.coalesce("version", F.lit(0)).alias("version"))
+    one = _ordered(fresh, "shard", "version").withColumn("total", F.expr("aggregate(s, 0L, (t, y) -> t - y.down)"))
+    one = one.withColumn("loads", F.expr(f"aggregate(s, array_repeat(0L, {shards + 1}), (a, y) -> transform(a, (v, j) -> if(j = y.shard, v - y.down, v)))"))
     fold = f"""
-        aggregate(s, named_struct('loads', transform(sequence(0, {shards}), k -> aggregate(filter(s, y -> y.shard = k), 0L, (t, y) -> t - y.down)), 'to', cast(array() as array<int>)),
-            (a, x) -> if(a.loads[x.shard] * {shards + 1} > -aggregate(s, 0L, (t, y) -> t + y.down)
-                    and (a.loads[{shards}] - x.down) * {shards + 1} <= -aggregate(s, 0L, (t, y) -> t + y.down),
+        aggregate(s, named_struct('loads', loads, 'to', cast(array() as array<int>)),
+            (a, x) -> if(a.loads[x.shard] * {shards + 1} > total and (a.loads[{shards}] - x.down) * {shards + 1} <= total,
                 named_struct('loads', transform(a.loads, (v, j) -> case when j = x.shard then v + x.down when j = {shards} then v - x.down else v end), 'to', array_append(a.to, {shards})),
                 named_struct('loads', a.loads, 'to', array_append(a.to, x.shard))),
             a -> a.to)"""
-    one = _ordered(fresh, "shard", "version")
     return one.select(F.explode(F.arrays_zip("s", F.expr(fold).alias("to"))).alias("p")).select((F.col("p.s.version") + 1).alias("version"), F.col("p.s.slot").alias("slot"), F.col("p.to").alias("shard"), (-F.col("p.s.down")).alias("bytes"))
 
 
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Stores the map's version beside those that are there; a version is never overwritten."""
+    slot_map.coalesce(1).write.partitionBy("version").mode("append").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version, or the latest."""
+    held = spark.read.schema("slot int, shard int, bytes long, version int").parquet(path)
+    return held.where(F.col("version") == version) if version else held.join(F.broadcast(held.agg(F.max("version").alias("version"))), "version")
+
+
+def grow(slot_sizes: DataFrame, path: str, shards: int) -> None:
+    """Stores the next version of the map at `path`, with shards + 1 shards."""
+    save_map(written(add_shard(load_map(slot_sizes.sparkSession, path), slot_sizes, shards), "slot_map"), path)
+
+
 def place(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """(key, size, text_crc32, virtual_slot, version, shard, place): place is gapless from 0 in each shard.
 
@@ -83,15 +105,23 @@ def place(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", text: str =
     return out.select(key, "size", "text_crc32", "virtual_slot", "version", "shard", (F.col("before") + F.col("at") - 1).alias("place"))
 
 
-def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def stored_map(docs: DataFrame, shards: int, key: str, text: str, slots: int, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sizes, map): the slots' bytes, written once, and version 1 of the map as stored at path (a folder of its own where none is given)."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/slot_map-{uuid.uuid4().hex}"
+    sizes = written(slot_bytes(docs, key, text, slots), "slot_bytes")
+    save_map(new_map(sizes, shards), path)
+    return sizes, load_map(spark, path)
+
+
+def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """docs with virtual_slot and shard as last columns (in place of any of these names)."""
-    slot_map = new_map(slot_bytes(docs, key, text, slots), shards).select(F.col("slot").alias("virtual_slot"), "shard")
+    _, slot_map = stored_map(docs, shards, key, text, slots, path)
     rows = docs.drop("virtual_slot", "shard").withColumn("virtual_slot", slot_of(F.col(key), slots))
-    return rows.join(F.broadcast(slot_map), "virtual_slot").select(*[c for c in rows.columns if c != "virtual_slot"], "virtual_slot", "shard")
+    return rows.join(F.broadcast(slot_map.select(F.col("slot").alias("virtual_slot"), "shard")), "virtual_slot").select(*[c for c in rows.columns if c != "virtual_slot"], "virtual_slot", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Slots, map and places in one call."""
-    sizes = slot_bytes(docs, key, text, slots)
-    slot_map = new_map(sizes, shards).join(F.broadcast(sizes.select("slot", "records")), "slot")
-    return place(docs, slot_map, key, text, slots)
+def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Slots, stored map and places in one call."""
+    sizes, slot_map = stored_map(docs, shards, key, text, slots, path)
+    return place(docs, slot_map.join(F.broadcast(sizes.select("slot", "records")), "slot"), key, text, slots)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm._store import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which names are registered, with a two-letter country label after them.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -63,13 +65,13 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, limit: float = 0.5, z: float = 1.645) -> DataFrame:
     """(host, mean, bound, bad_host) for every host of `hosts` (host); outcomes: (host, bad 0/1).
 
-    Host counts are partial sums before the shuffle, and all levels above are made from host counts.
+    Host counts are partial sums before the shuffle, written once; all levels above are made from them.
     """
     seen = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
     h = hosts.select("host").distinct().join(seen, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     domain, suffix = registered(F.col("host"))
-    h = h.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
-    d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    h = written(h.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
+    d = written(h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     everything = s.agg(F.coalesce(F.try_divide(F.sum("bad").cast("double"), F.sum("n").cast("double")), F.lit(0.0)).alias("p0"))
     one = everything

@@ -28,8 +28,9 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with a posterior of MIN_SCORE; the model learns from their labels."""
-    out = identify(docs, train(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    aside = {c: f"{c}_of_docs_" for c in docs.columns if c in ("lang_pred", "score")}
+    out = identify(docs.withColumnsRenamed(aside), train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return out.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -62,9 +63,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its first word; whole documents move."""
     rows = numbered(docs)
-    plan = mix(rows, carry=(ROW,)).where("copies > 0").select(ROW, "copies")
-    out = rows.join(plan, ROW)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).drop("copy_")
+    times = f"{ROW}times"
+    plan = mix(rows, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").alias(times))
+    out = rows.join(plan, ROW).withColumn(times, F.explode(F.sequence(F.lit(1), times)))
+    return out.select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

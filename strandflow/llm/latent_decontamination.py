@@ -208,7 +208,7 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
     groups = {int(k): np.flatnonzero(items.blocks == k) for k in np.unique(items.blocks)}
     look = np.zeros(1 << _LOOK, dtype=bool)
     look[(items.rare >> np.uint64(64 - _LOOK)).astype(np.int64)] = True
-    own = [np.unique(h) for h in items.hashes]
+    own = [frozenset(h.tolist()) for h in items.hashes]
 
     def hits(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, text, item) of every rare word, in order of words."""
@@ -269,8 +269,7 @@ def _search(space: Space, items: Items, cosine: float, lcs: float, answer_words:
             at, j = pair // len(items.ids), pair % len(items.ids)
             place = np.searchsorted(which, j)
             for x, y, z in zip(at.tolist(), j.tolist(), place.tolist(), strict=True):
-                h = w.hashes[begin[x] : end[x]]
-                if np.isin(h, own[y]).sum() < items.least[y]:
+                if sum(map(own[y].__contains__, w.hashes[begin[x] : end[x]].tolist())) < items.least[y]:
                     continue
                 if len(cos):
                     near = float(cos[x, z])

@@ -82,6 +82,27 @@ def test_sharding(spark, docs, empty, corpus):
     assert sharding.assign(extra, 3).count() == len(corpus)
 
 
+def test_versions_of_the_slot_map_are_stored(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    one = sharding.shard_documents(docs, 5, path=path).toPandas()
+    sizes = sharding.slot_bytes(docs)
+    sharding.grow(sizes, path, 5)
+    sharding.grow(sizes, path, 6)
+    assert sharding.load_map(spark, path, 1).count() == sharding.load_map(spark, path).count() == sizes.count()
+    first, last = (sharding.load_map(spark, path, *v).toPandas().set_index("slot") for v in ((1,), ()))
+    assert set(first["version"]) == {1} and set(last["version"]) == {3} and set(last["shard"]) <= set(range(7))
+    assert set(zip(one["virtual_slot"], one["shard"], strict=True)) == set(first["shard"].items())
+    assert set(last["shard"][last["shard"] != first["shard"].reindex(last.index)]) <= {5, 6}
+
+
+def test_hot_hosts_repeated_rows_and_clashing_columns(spark):
+    rows = [(i, "http://hot.example.org/a", "x") for i in range(300)] + [(0, "http://hot.example.org/a", "x"), (None, None, None), (1000, "http://a.b.co.uk/q", "y")]
+    d = spark.createDataFrame(rows, "page_id long, url string, host string").withColumn("n", F.lit(1)).withColumn("bad", F.lit("z")).withColumn("mean", F.lit(0))
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "page_id long, bad int")
+    got = url_reputation.filter_urls(d, labels, []).toPandas()
+    assert len(got) == 303 and set(got[got["host"] == "hot.example.org"]["verdict"]) == {"block"} and (got["host"] == "").sum() == 1
+
+
 def test_url_parts_and_rules(spark):
     urls = [None, "no scheme", "http://WWW.Example.com/en/x?q#f", "https://a.b.net/es/", "x://host", "http://h.com?x/y", "http://e.net#/fr/", "http://badexample.com/en/"]
     d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
@@ -141,16 +162,40 @@ def test_exact_dedup(docs, empty, corpus):
     assert exact_dedup.dedup(empty).count() == 0
 
 
-def test_cuckoo_index_inserts_deletes_and_grows():
-    index = exact_dedup.DigestIndex(capacity=8)
+def test_exact_dedup_keeps_large_and_missing_ids_apart(spark):
+    big = 2**53
+    rows = [(None, "a b"), (big + 1, "ab"), (big + 3, "a  b"), (big + 2, "c"), (None, "c"), (big + 5, None), (None, " \x0b"), (7, "x\ty"), (7, "x\ty"), (8, "z" * 50_000)]
+    got = exact_dedup.dedup(table(spark, [(i, t, None, None) for i, t in rows])).collect()
+    found = sorted((r.doc_id or 0, r.n_code, r.keep_id or 0, r.group_size, r.kept) for r in got)
+    want = [(0, 3, big + 3, 3, False), (big + 1, 2, big + 3, 3, False), (big + 3, 4, big + 3, 3, True), (big + 2, 1, big + 2, 2, True), (0, 1, big + 2, 2, False)]
+    want += [(big + 5, 0, 0, 2, False), (0, 2, 0, 2, True), (7, 3, 7, 2, True), (7, 3, 7, 2, False), (8, 50_000, 8, 1, True)]
+    assert found == sorted(want)
+
+
+def test_cuckoo_filter_inserts_deletes_and_grows(spark):
+    index = exact_dedup.DigestFilter(capacity=8)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    for i, k in enumerate(keys):
-        assert index.get(k) is None
-        index.put(k, i)
-    assert index.resizes > 3 and all(index.get(k) == i for i, k in enumerate(keys))
-    for k in keys[::2]:
-        assert index.delete(k) and not index.delete(k)
-    assert all((index.get(k) is None) == (i % 2 == 0) for i, k in enumerate(keys))
+    false = 0
+    for k in keys:
+        false += k in index
+        index.put(k)
+    assert index.resizes > 3 and false < 20 and all(k in index for k in keys)
+    assert all(index.filter.delete(k) for k in keys[::2]) and all(k in index for k in keys[1::2])
+    assert sum(k in index for k in keys[::2]) < 20
+    live = spark.createDataFrame([(k, i) for i, k in enumerate(keys[:300])], "digest binary, n int")
+    gone = spark.createDataFrame([(k,) for k in [*keys[:100], *keys[:5], *keys[1000:1100]]], "digest binary")
+    assert sorted(r.n for r in exact_dedup.retire(live, gone).collect()) == list(range(100, 300))
+
+
+def test_colliding_fingerprints_are_content_of_their_own(spark, monkeypatch):
+    """Every digest is a hit after the first one of its shard: groups are the same."""
+    rows = [(i, f"text {i % 7}", None, None) for i in range(40)]
+    want = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(table(spark, rows)).collect())
+    seen = exact_dedup.digests(table(spark, rows))
+    monkeypatch.setattr(exact_dedup, "_shard", lambda batches: (b.append_column("hit", pa.array([True] * b.num_rows)) for b in batches))
+    live = exact_dedup.live_digests(seen)
+    got = sorted((r.doc_id, r.keep_id, r.group_size) for r in seen.join(live, "digest").collect())
+    assert got == want
 
 
 def brute_components(corpus, percent=80):
@@ -196,20 +241,25 @@ def test_linked_sets_share_a_key():
                 continue
             keys, owner = jaccard_join.group_keys(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), n
-            p, q = (len(x).to_bytes(4, "little") + jaccard_join.count_vector(x).tobytes() for x in (a, b))
-            assert jaccard_join._may_link(p, q, 80)
+            order = np.argsort([len(a), len(b)])
+            points = [jaccard_join.count_vector((a, b)[k]) for k in order]
+            near = list(jaccard_join.near_points(np.sort([len(a), len(b)]), points, 80, np.zeros(2, bool), np.arange(2)))
+            assert [(i, j.tolist()) for i, j, _ in near] == [(0, [1])]
 
 
 def test_tree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(4)
     points = r.poisson(2, size=(700, 64)).astype(np.uint8)
     points[::7] = points[3]
+    points = points[np.argsort(points.sum(axis=1), kind="stable")]
     sizes = points.sum(axis=1).astype(np.int64)
     tree = jaccard_join.CountRTree(points, sizes)
     for i in (0, 3, 7, 699):
         bound = np.minimum(points, points[i]).sum(axis=1, dtype=np.int64)
-        ratio = (np.minimum(sizes, sizes[i]) * 100 >= 80 * np.maximum(sizes, sizes[i]))
-        assert sorted(tree.search(points[i], int(sizes[i]), 80)) == np.flatnonzero((bound >= jaccard_join.enough(sizes, sizes[i], 80)) & ratio).tolist()
+        ratio = np.minimum(sizes, sizes[i]) * 100 >= 80 * np.maximum(sizes, sizes[i])
+        want = np.flatnonzero((bound >= jaccard_join.enough(sizes, sizes[i], 80)) & ratio)
+        assert sorted(tree.search(points[i], int(sizes[i]), 80)[0]) == want.tolist()
+        assert sorted(tree.search(points[i], int(sizes[i]), 80, 100)[0]) == want[want >= 100].tolist()
 
 
 def test_components_of_a_long_chain(spark):
@@ -245,10 +295,35 @@ def test_substring_dedup(docs, empty, corpus, length):
     assert substring_dedup.remove_repeats(empty, length).count() == 0
 
 
-def test_factors_join_where_they_touch():
-    marked = np.zeros(50, dtype=bool)
-    marked[[2, 3, 7, 30]] = True
-    assert substring_dedup.factors(marked, 5) == [(2, 12), (30, 35)]
+def test_parse_follows_one_reference_at_a_time():
+    doc, pos = np.array([1, 1, 1, 1, 2]), np.array([3, 4, 5, 9, 10])
+    ref, at = np.array([0, 0, 7, 7, 7]), np.array([8, 9, 2, 6, 7])
+    got = [c.tolist() for c in substring_dedup.parse(doc, pos, ref, at, 20)]
+    assert got == [[1, 1, 1, 2], [3, 5, 9, 10], [21, 20, 20, 20], [0, 7, 7, 7], [8, 2, 6, 7]]
+
+
+def test_factors_are_copies_of_their_references(spark, docs, corpus):
+    d = substring_dedup.with_order(docs, F.col("doc_id"), F.col("text"))
+    held = {r[0]: WORD.findall(r[1] or "") for r in d.collect()}
+    found = substring_dedup.factors_of(substring_dedup.written(d, "rows"), 5).collect()
+    assert len(found) > 20 and len(held) == len(corpus)
+    for r in found:
+        assert r.length >= 5 and held[r.doc][r.start : r.start + r.length] == held[r.ref_doc][r.ref_start : r.ref_start + r.length]
+        assert (r.ref_doc, r.ref_start) < (r.doc, r.start)
+
+
+def test_one_window_factors_are_compared_word_by_word(spark):
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c y"), (3, "q r s t")], f"{substring_dedup.ID} long, text string")
+    found = spark.createDataFrame([(2, 1, 3, 1, 0), (3, 0, 3, 1, 0), (3, 1, 4, 1, 0)], "doc long, start long, length long, ref_doc long, ref_start long")
+    assert [tuple(r) for r in substring_dedup.unequal(found, texts, 3).collect()] == [(3, 0)]
+
+
+def test_substring_rows_without_an_id_or_with_a_shared_one(spark):
+    say = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    big = 2**53 + 1
+    rows = [(1, say("w")), (None, say("w")), (None, say("v")), (1, say("u")), (big, say("t")), (big + 1, say("t")), (None, say("v")), (1, say("v")), (4, None)]
+    got = sorted((r.n_removed, r.doc_id is None, r.doc_id or 0) for r in substring_dedup.remove_repeats(table(spark, [(i, t, None, None) for i, t in rows])).collect())
+    assert got == sorted([(0, False, 1), (30, True, 0), (30, True, 0), (0, False, 1), (0, False, big), (30, False, big + 1), (30, True, 0), (0, False, 1), (0, False, 4)])
 
 
 def test_language_id(spark, empty):
@@ -266,12 +341,54 @@ def test_language_id(spark, empty):
     assert set(langid_ppm.identify(d, none).toPandas()["lang_pred"]) == {"und"}
 
 
-def test_code_lengths_are_a_code():
-    tree = np.zeros((4, 4, 4))
-    tree[1, 2, 3] = 5
-    tree[1, 2, 1] = 1
-    bits = langid_ppm.code_lengths(tree)
-    assert (np.exp2(-bits).sum(axis=-1) <= 1 + 1e-9).all() and bits[1, 2, 3] < bits[1, 2, 1] < bits[1, 2, 0]
+def brute_code(text, counts):
+    """Bits of a text by the definition: longest context first, method C escapes, at last 8 bits a byte. counts: order -> {gram: n}."""
+    raw, bits = b" " * langid_ppm.ORDER + text, 0.0
+    for i in range(langid_ppm.ORDER, len(raw)):
+        for k in range(langid_ppm.ORDER, -1, -1):
+            context, gram = raw[i - k : i], raw[i - k : i + 1]
+            here = {g: n for g, n in counts[k].items() if g[:-1] == context}
+            whole = sum(here.values()) + len(here)
+            if gram in here:
+                bits -= np.log2(here[gram] / whole)
+                break
+            if here:
+                bits -= np.log2(len(here) / whole)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_equal_brute_force(spark):
+    r = np.random.default_rng(14)
+    say = lambda letters, n: "".join(r.choice(list(letters), size=n))
+    rows = [(i, say("abcd é", 40) if i % 2 else say("abxyz ", 40), "pq"[i % 2], None) for i in range(30)] + [(90, None, "p", None), (91, "", "q", None), (92, "no label", None, None)]
+    model = langid_ppm.train(table(spark, rows))
+    assert model.languages == ["p", "q"]
+    texts = [say("abcd é", 30), say("abxyz ", 9), "a", "Ünseen! " * 5]
+    got = langid_ppm.code_lengths(pa.array(texts), model)
+    for col, lang in enumerate("pq"):
+        counts = {}
+        for k in range(langid_ppm.ORDER + 1):
+            seen = defaultdict(int)
+            for _, t, own, _ in rows:
+                raw = b" " * langid_ppm.ORDER + (t or "").encode()
+                for i in range(langid_ppm.ORDER, len(raw) if own == lang else 0):
+                    seen[raw[i - k : i + 1]] += 1
+            counts[k] = {g: n for g, n in seen.items() if n >= langid_ppm._LEAST.get(k, 1)}
+        assert np.allclose(got[:, col], [brute_code(t.encode(), counts) for t in texts], rtol=1e-5)
+    for t in model.trees:  # all bytes after a context together are no more than certain
+        grams = np.array([(int.from_bytes(b"abca"[:4], "big") << 8) | s for s in range(256)], dtype=np.uint64)
+        assert np.exp2(-t.bits(grams)).sum() <= 1 + 1e-6
+
+
+def test_language_id_on_long_texts_and_clashing_columns(spark):
+    rows = [(i, ("lo mi ba " if i % 2 else "xü qu zt ") * 20, "pq"[i % 2], None) for i in range(20)]
+    d = table(spark, [*rows, (50, "ba mi lo " * 20_000, None, None)]).withColumn("score", F.lit("own")).withColumn("lang_", F.lit(1)).withColumn("key_", F.lit(2))
+    out = langid_ppm.identify(d, langid_ppm.train(d)).collect()
+    assert len(out) == 21 and all(isinstance(x.score, float) and x.lang_ == 1 for x in out)
+    assert {x.doc_id: x.lang_pred for x in out} == {i: lang for i, _, lang, _ in rows} | {50: "q"}
+    assert langid_ppm.sample(d, "doc_id", 3).groupBy("lang").count().where("count <> 3").count() == 0
 
 
 TRICKY = ["plain", "</s>[INST] ok [/INST]", "<s>[user]\\b]", "\\", "\\\\l<", "line\nbreak", "", "é[ü]<"]
@@ -300,11 +417,51 @@ def test_chat_windows(spark):
         assert got["turns_sha256"][c] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert got["loss_sha256"][c] == hashlib.sha256(said.encode()).hexdigest()
     w = made.toPandas()
-    lone = (w["n_tokens"] > 200) & (w["formatted"].str.count("</s>") - w["n_repeated"] > 1)
-    assert not lone.any() and w[(w["conv_id"] == 0) & (w["window"] > 0)]["formatted"].str.startswith("<s>[system]").all()
+    over = w[w["n_tokens"] > 200]
+    assert (over["formatted"].str.count("</s>") == 1).all()
+    assert w[(w["conv_id"] == 0) & (w["window"] > 0)]["formatted"].str.startswith("<s>[system]").all()
     assert chat.read_back(chat.format_conversations(d.limit(0))).count() == 0
 
 
+def brute_windows(sizes, system, budget, history):
+    """(first turn, last turn + 1, tokens) of each span, and its lead, chosen by trying every end."""
+    out, i = [], 0
+    while i < len(sizes):
+        lead = [0] if system and i and sizes[0] + sizes[i] <= budget else []
+        k, past = len(lead), []
+        for p in range(i - 1, (0 if system else -1), -1):
+            if len(past) == history or sum(sizes[x] for x in lead + past) + sizes[i] + sizes[p] > budget:
+                break
+            past.insert(0, p)
+        lead = lead[:k] + past
+        room = budget - sum(sizes[x] for x in lead)
+        ends = [j for j in range(i + 1, len(sizes) + 1) if sum(sizes[i:j]) <= room]
+        j = max(ends, default=i + 1)
+        out.append((lead, list(range(i, j)), sum(sizes[x] for x in lead) + sum(sizes[i:j])))
+        i = j
+    return out
+
+
+def test_windows_keep_the_budget():
+    r = np.random.default_rng(12)
+    for _ in range(300):
+        sizes = [int(x) for x in r.integers(1, 40, size=int(r.integers(1, 25)))]
+        system, budget, history = bool(r.random() < 0.5), int(r.integers(20, 80)), int(r.integers(0, 4))
+        turns = [("system" if system and k == 0 else "user", f"{k} " * n) for k, n in enumerate(sizes)]
+        got = [([int(t.split()[0]) for _, t in part], n, used) for part, n, used in chat.windows(iter(turns), budget, history, lambda t: len(t.split()))]
+        assert got == [(lead + span, len(lead), used) for lead, span, used in brute_windows(sizes, system, budget, history)]
+        assert all(used <= budget or len(part) == 1 for part, _, used in got)
+    said = [("system", "s " * 150), ("user", "u " * 100), ("assistant", "a " * 90)]
+    assert [(len(p), n, used) for p, n, used in chat.windows(iter(said), 200, 2)] == [(1, 0, 152), (2, 0, 194)]
+
+
+def test_conversations_with_large_or_missing_ids_stay_apart(spark):
+    ids = [None, 2**53, 2**53 + 1, 2**53 + 2]
+    d = spark.createDataFrame([(c, k, "user", f"{c} {k}") for c in ids for k in range(3)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.read_back(chat.format_conversations(d, budget=6)).collect()}
+    assert got == {c: (3, hashlib.sha256("".join(f"user\n{c} {k}\n" for k in range(3)).encode()).hexdigest()) for c in ids}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -359,7 +516,58 @@ def test_disclosing_terms_are_marked_wherever_they_stand(spark):
     assert sorted(terms) == [(0, 14, 0.6)] + [(2, 16, 0.6)] * 6 + [(6, 20, 0.6)] * 2 + [(23, 37, 0.6)]
     safe = sorted(r.text for r in pii_disclosure.sanitise(d).collect())
     assert len(safe) == 18 and not any("falcon" in t.lower() or "x@y" in t for t in safe)
-    assert safe.count("é <TERM> belongs to <EMAIL> as agreed") == 6 and "again\n<TERM> é <TERM>" in safe
+    assert safe.count("é <WORD> belongs to <EMAIL> as agreed") == 6 and "again\n<NAME> é <WORD>" in safe
+
+
+def brute_terms(texts, window=10, support=3, disclose=0.5):
+    """{word: p} recomputed from the definition, words by words."""
+    near, total, low = defaultdict(set), defaultdict(int), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for d, text in enumerate(texts):
+        found = [(m.start(), m.end(), m[0].translate(low)) for m in WORD.finditer(text)]
+        base = brute_spans(text)
+        for _, _, w in found:
+            total[w] += 1
+        for a, k, e in base:
+            before, after = [i for i, (_, y, _) in enumerate(found) if y <= a], [i for i, (x, _, _) in enumerate(found) if x >= e]
+            for i in before[max(0, len(before) - window) :] + after[:window]:
+                if all(found[i][1] <= x or found[i][0] >= y for x, _, y in base):
+                    near[found[i][2], (k, text[a:e].lower())].add((d, i))
+    best = defaultdict(float)
+    for (w, _), places in near.items():
+        if len(places) >= support and len(places) / total[w] >= disclose:
+            best[w] = max(best[w], len(places) / total[w])
+    return dict(best)
+
+
+def test_disclosure_equals_brute_force(spark):
+    r = np.random.default_rng(13)
+    people = [(f"p{k}@mail.org", [f"nick{k}", f"Town{k}", f"b{k}-7"]) for k in range(6)]
+    vocab = [f"w{k}" for k in range(30)]
+    texts = []
+    for _ in range(150):
+        w = list(r.choice(vocab, size=int(r.integers(0, 40))))
+        for _ in range(int(r.integers(0, 3))):
+            mail, facts = people[int(r.integers(0, 6))]
+            said = [str(r.choice(facts)), mail] if r.random() < 0.7 else [str(r.choice(facts))]
+            at = int(r.integers(0, len(w) + 1))
+            w[at:at] = said
+        texts.append(" ".join(w))
+    texts += ["", "x" * 30_000 + " nick0 " + "y " * 20_000]
+    got = pii_disclosure.all_spans(table(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    want, seen = brute_terms(texts), {}
+    assert len(want) > 5
+    for row in got:
+        text = texts[row.doc_id]
+        base = brute_spans(text)
+        terms = [(m.start(), m.end()) for m in WORD.finditer(text) if m[0].lower() in want and all(m.end() <= a or m.start() >= e for a, _, e in base)]
+        assert sorted((s["start"], s["end"]) for s in row.spans if s["kind"] == 4) == terms
+        seen |= {text[s["start"] : s["end"]].lower(): s["p"] for s in row.spans if s["kind"] == 4}
+    assert all(np.isclose(seen[w], want[w]) for w in seen) and len(seen) > 5
+
+
+def test_overlapping_spans_leave_nothing_in_clear():
+    spans = [{"start": 2, "kind": 2, "end": 10, "p": 1.0}, {"start": 6, "kind": 3, "end": 14, "p": 1.0}, {"start": 15, "kind": 4, "end": 17, "p": 0.95}, {"start": 18, "kind": 4, "end": 20, "p": 0.6}]
+    assert pii_disclosure.rewrite("a 12345678901234-5678 x", spans, 0.9) == "a <CARD>35<NUMBER>8 x"
 
 
 def test_decontamination(spark, empty):
@@ -450,6 +658,24 @@ def test_pipeline(spark, tmp_path, corpus):
     assert set(seen[3]) <= set(seen[2]) and sorted(seen[4]) == sorted(seen[3]) and "shard" in d.columns
 
 
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "some item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"{a} {b} lives in the {a} house by the {b} and says {i}", "en", "s") for i, (a, b) in enumerate(zip("abcdefgh", "hgfedcba", strict=True))]
+    for name, d in (("none", table(spark, [])), ("some", table(spark, rows))):
+        for c in ("score", "lang_pred", "copies", "shard", "size", "row_", "component_id"):
+            d = d.withColumn(c, F.lit("own"))
+        d.write.parquet(str(tmp_path / f"{name}.parquet"))
+        d = spark.read.parquet(str(tmp_path / f"{name}.parquet"))
+        columns = d.columns
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, d, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{stage}"))
+            d = spark.read.parquet(str(tmp_path / f"{name}-{stage}"))
+            assert d.columns == columns or stage == "sharding"
+        assert (d.count() == 0) == (name == "none") and (name == "none" or d.select("score").first()[0] == "own")
+
+
 def test_extra_columns_with_clashing_names_and_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "z"), (2, None, None)], "doc_id long, text string, row string")
     for c in ("part", "kind", "data", "digest", "size", "shard", "slot", "node", "n"):

@@ -41,21 +41,36 @@ FLOW_ANOMALY = Op("flow_anomaly", """SELECT z.run_id, z.frame, greatest(z.z, CAS
     FROM {z} z JOIN {gradient} g ON g.run_id = z.run_id AND g.frame = z.frame JOIN {gradient_std} s ON s.run_id = z.run_id AND s.frame = z.frame""")
 SIGN_CHANGES = Op("sign_changes", """SELECT run_id, frame, (abs(sign(lf_x) - sign(px)) + abs(sign(lf_y) - sign(py)) + abs(sign(lf_z) - sign(pz))) / 6 AS changes FROM (
     SELECT run_id, frame, own, lf_x, lf_y, lf_z, coalesce(lag(lf_x) OVER w, lf_x) AS px, coalesce(lag(lf_y) OVER w, lf_y) AS py, coalesce(lag(lf_z) OVER w, lf_z) AS pz FROM {flow} WINDOW w AS (PARTITION BY run_id, blk ORDER BY frame)) f WHERE own""", halo=("flow", "1"))
-MULTISCALE_JUMP = Op("multiscale_jump", """SELECT run_id, frame, sum(d / (sd + 1E-10)) / 3 AS jump FROM (SELECT run_id, frame, d, stddev_pop(d) OVER (PARTITION BY run_id, k) AS sd FROM (
+SCALE_DEVIATIONS = Op(
+    "scale_deviations",
+    """
     SELECT s.run_id, s.frame, 1 AS k, abs(s.v - a.v) AS d FROM {series} s JOIN {a} a ON a.run_id = s.run_id AND a.frame = s.frame
     UNION ALL SELECT s.run_id, s.frame, 2, abs(s.v - a.v) FROM {series} s JOIN {b} a ON a.run_id = s.run_id AND a.frame = s.frame
-    UNION ALL SELECT s.run_id, s.frame, 3, abs(s.v - a.v) FROM {series} s JOIN {c} a ON a.run_id = s.run_id AND a.frame = s.frame) u) w GROUP BY run_id, frame""")
+    UNION ALL SELECT s.run_id, s.frame, 3, abs(s.v - a.v) FROM {series} s JOIN {c} a ON a.run_id = s.run_id AND a.frame = s.frame""",
+)
+MULTISCALE_JUMP = Op(
+    "multiscale_jump",
+    """
+    SELECT u.run_id, u.frame, sum(u.d / (s.sd + 1E-10)) / 3 AS jump
+    FROM {deviations} u JOIN (SELECT run_id, k, stddev_pop(d) AS sd FROM {deviations} GROUP BY run_id, k) s ON s.run_id = u.run_id AND s.k = u.k
+    GROUP BY u.run_id, u.frame""",
+)
 LINEAR_DEVIATION = Op("linear_deviation", """SELECT t.run_id, t.frame, abs(t.total - (e.t0 + (e.t1 - e.t0) / greatest(e.n - 1, 1) * (t.frame - e.f0))) AS v FROM {totals} t
     JOIN (SELECT run_id, min_by(total, frame) AS t0, max_by(total, frame) AS t1, min(frame) AS f0, count(*) AS n FROM {totals} GROUP BY run_id) e ON e.run_id = t.run_id""")
 CHARGE_BREAK = Op("charge_break", """SELECT p.run_id, p.frame, greatest(p.brk, abs(g.g) / (m.m + 1E-10)) AS brk FROM {phase} p JOIN {deviation_gradient} g ON g.run_id = p.run_id AND g.frame = p.frame
     JOIN (SELECT run_id, max(abs(g)) AS m FROM {deviation_gradient} GROUP BY run_id) m ON m.run_id = p.run_id""")
-COHERENCE_BREAK = Op("coherence_break", """SELECT run_id, frame, CASE WHEN b > m + 2 * sd THEN b ELSE 0 END AS brk FROM (SELECT run_id, frame, b, avg(b) OVER (PARTITION BY run_id) AS m, stddev_pop(b) OVER (PARTITION BY run_id) AS sd
-    FROM (SELECT run_id, frame, CASE WHEN g < 0 THEN -2 * g ELSE g END AS b FROM {gradient}) x) y""")
+COHERENCE_BREAK = Op(
+    "coherence_break",
+    """
+    SELECT g.run_id, g.frame, CASE WHEN CASE WHEN g.g < 0 THEN -2 * g.g ELSE g.g END > s.m + 2 * s.sd THEN CASE WHEN g.g < 0 THEN -2 * g.g ELSE g.g END ELSE 0 END AS brk
+    FROM {gradient} g
+    JOIN (SELECT run_id, avg(CASE WHEN g < 0 THEN -2 * g ELSE g END) AS m, stddev_pop(CASE WHEN g < 0 THEN -2 * g ELSE g END) AS sd FROM {gradient} GROUP BY run_id) s ON s.run_id = g.run_id""",
+)
 EXTREMA = Op("extrema", """SELECT run_id, frame, CASE WHEN v > hi1 AND v > hi2 THEN 1 WHEN v < lo1 AND v < lo2 THEN 1 ELSE 0 END AS extremum FROM (
     SELECT run_id, frame, own, v, max(v) OVER a AS hi1, max(v) OVER b AS hi2, min(v) OVER a AS lo1, min(v) OVER b AS lo2 FROM {series}
     WINDOW a AS (PARTITION BY run_id, blk ORDER BY frame ROWS BETWEEN <w> PRECEDING AND 1 PRECEDING), b AS (PARTITION BY run_id, blk ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND <w> FOLLOWING)) f WHERE own""", {"w": 10}, halo=("series", "w"))
-DIVERGENCE = Op("divergence", """SELECT run_id, frame, CASE WHEN abs(d) > 3 * stddev_pop(d) OVER (PARTITION BY run_id) THEN 1 ELSE 0 END AS anomaly FROM (SELECT x.run_id, x.frame, x.g + y.g + z.g AS d FROM {gx} x
-    JOIN {gy} y ON y.run_id = x.run_id AND y.frame = x.frame JOIN {gz} z ON z.run_id = x.run_id AND z.frame = x.frame) s""")
+DIVERGENCE_SUM = Op("divergence_sum", "SELECT x.run_id, x.frame, x.g + y.g + z.g AS d FROM {gx} x JOIN {gy} y ON y.run_id = x.run_id AND y.frame = x.frame JOIN {gz} z ON z.run_id = x.run_id AND z.frame = x.frame")
+DIVERGENCE = Op("divergence", "SELECT d.run_id, d.frame, CASE WHEN abs(d.d) > 3 * s.sd THEN 1 ELSE 0 END AS anomaly FROM {sum} d JOIN (SELECT run_id, stddev_pop(d) AS sd FROM {sum} GROUP BY run_id) s ON s.run_id = d.run_id")
 DECORRELATION = Op("decorrelation", """SELECT f.run_id, f.frame, CASE WHEN f.frame >= <w> AND f.frame < n.n - <w> AND sa > 1E-10 AND sb > 1E-10 THEN 1 - abs(c / (sa * sb)) ELSE 0 END AS d FROM (
     SELECT run_id, frame, own, stddev_pop(a) OVER w AS sa, stddev_pop(b) OVER w AS sb, covar_pop(a, b) OVER w AS c FROM {pair} WINDOW w AS (PARTITION BY run_id, blk ORDER BY frame ROWS BETWEEN <w> PRECEDING AND <w1> FOLLOWING)) f
     JOIN (SELECT run_id, max(frame) + 1 AS n FROM {pair} GROUP BY run_id) n ON n.run_id = f.run_id WHERE own""", {"w": 25, "w1": 24}, halo=("pair", "w"))

@@ -35,7 +35,15 @@ Z_NORMALISE = Op("z_normalise", """SELECT s.run_id, s.frame, CASE WHEN c.sd < 1E
     FROM {series} s JOIN (SELECT run_id, avg(v) AS m, stddev_pop(v) AS sd FROM {series} GROUP BY run_id) c ON c.run_id = s.run_id""")
 LOCAL_Z = Op("local_z", """SELECT run_id, frame, CASE WHEN sd > 1E-10 THEN abs(v - m) / sd ELSE 0 END AS z FROM (SELECT run_id, frame, own, v, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd
     FROM {series} WINDOW w AS (PARTITION BY run_id, blk ORDER BY frame ROWS BETWEEN <w> PRECEDING AND <w> FOLLOWING)) f WHERE own""", {"w": 50}, halo=("series", "w"))
-TOTALS = Op("totals", "SELECT run_id, frame, sum(v) OVER (PARTITION BY run_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM {series}")
+TOTALS = Op(
+    "totals",
+    """
+    SELECT q.run_id, q.frame, coalesce(b.before_, 0) + sum(q.v) OVER (PARTITION BY q.run_id, q.part ORDER BY q.frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+    FROM (SELECT run_id, frame, v, floor(frame / 10000) AS part FROM {series}) q
+    JOIN (SELECT run_id, part, sum(s) OVER (PARTITION BY run_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_
+        FROM (SELECT run_id, floor(frame / 10000) AS part, sum(v) AS s FROM {series} GROUP BY 1, 2) p) b ON b.run_id = q.run_id AND b.part = q.part""",
+    doc="prefix sums in two levels: blocks, then within a block",
+)
 
 
 def gaussian_reach(sigma: float, cut: float = 4.0) -> int:

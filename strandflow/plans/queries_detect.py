@@ -37,12 +37,13 @@ LFFZ = Plan(d.CENTRED_Z, {"series": LFF}, {"w": 12, "w1": 11})
 GRAD_LF = grad(LF)
 FLOW_ANOM = Plan(d.FLOW_ANOMALY, {"z": LFZ, "gradient": GRAD_LF, "gradient_std": Plan(s.ROLLING, {"series": as_series(GRAD_LF, "abs(g)")}, {"w": 25})})
 gauss = lambda sigma: Plan(s.GAUSSIAN_FILTER, {"series": RHO}, {"sigma": sigma, "reach": s.gaussian_reach(sigma)})
-MULTI = Plan(d.MULTISCALE_JUMP, {"series": RHO, "a": gauss(4.0), "b": gauss(8.0), "c": gauss(12.0)})
+MULTI = Plan(d.MULTISCALE_JUMP, {"deviations": Plan(d.SCALE_DEVIATIONS, {"series": RHO, "a": gauss(4.0), "b": gauss(8.0), "c": gauss(12.0)})})
 DEV = Plan(d.LINEAR_DEVIATION, {"totals": Plan(s.TOTALS, {"series": Q})})
 CHARGE = Plan(d.CHARGE_BREAK, {"phase": PHASE, "deviation_gradient": grad(DEV)})
 COHB = Plan(d.COHERENCE_BREAK, {"gradient": grad(COH)})
 EXT = Plan(d.EXTREMA, {"series": RHO})
-DIV = Plan(d.DIVERGENCE, {"gx": grad(as_series(c.FLOW, "lf_x")), "gy": grad(as_series(c.FLOW, "lf_y")), "gz": grad(as_series(c.FLOW, "lf_z"))})
+DIV_SUM = Plan(d.DIVERGENCE_SUM, {"gx": grad(as_series(c.FLOW, "lf_x")), "gy": grad(as_series(c.FLOW, "lf_y")), "gz": grad(as_series(c.FLOW, "lf_z"))})
+DIV = Plan(d.DIVERGENCE, {"sum": DIV_SUM})
 PAIR = Plan(Op("flow_tension", "SELECT f.run_id, f.frame, f.lf_mag AS a, t.rho_t AS b FROM {f} f JOIN {t} t ON t.run_id = f.run_id AND t.frame = f.frame"), {"f": c.FLOW, "t": c.TENSION})
 SING = Plan(d.SINGULARITIES, {"extrema": EXT, "divergence": DIV, "decorrelation": Plan(d.DECORRELATION, {"pair": PAIR})})
 BREAKS = Plan(d.COMBINED_BREAKS, {"flow": FLOW_ANOM, "acceleration": LFFZ, "jump": MULTI, "charge": CHARGE, "coherence": COHB, "singular": SING})

@@ -16,7 +16,8 @@ from strandflow.plans.op import Plan
 from strandflow.plans.query import Query, tables
 from strandflow.sources.adapters import HOURLY, TRAJ
 
-SERIES = HOURLY
+#: Distances, radii and thresholds are those of a series of mean 0 and deviation 1.
+SERIES = d.as_series(Plan(s.Z_NORMALISE, {"series": HOURLY}), "z")
 POINTS = Plan(p.EMBED, {"series": SERIES})
 MI = Plan(p.MUTUAL_INFORMATION, {"series": SERIES})
 DIST = Plan(p.DISTANCES, {"points": POINTS})
@@ -24,7 +25,13 @@ KNN = Plan(p.KNN, {"distances": DIST})
 CDIM = Plan(p.CORRELATION_DIMENSION, {"distances": DIST})
 REC = Plan(p.RECURRENCE, {"distances": DIST})
 RQA = Plan(p.RQA, {"recurrence": REC, "points": POINTS})
-DYN = Plan(p.DYNAMICS, {"series": SERIES})
+NEXT = Plan(p.NEIGHBOURS, {"points": POINTS})
+DYN = Plan(p.DYNAMICS, {"neighbours": NEXT})
+LYAP = Plan(p.LYAPUNOV, {"points": POINTS})
+MEASURE = Plan(p.FRACTAL_MEASURE, {"dimension": CDIM})
+INFO = Plan(p.INFORMATION_DIMENSION, {"series": SERIES})
+PATH = Plan(p.TRAJECTORY_ANOMALY, {"neighbours": NEXT, "knn": KNN})
+RISK = Plan(p.PHASE_RISK, {"dimension": CDIM, "lyapunov": LYAP, "fractal": MEASURE, "information": INFO, "rqa": RQA})
 POWER = Plan(p.DFT_POWER, {"series": SERIES})
 SMOOTH = Plan(s.GAUSSIAN_SMOOTH, {"series": SERIES})
 
@@ -34,16 +41,17 @@ QUERIES_ = {
     "phs2_best_delay": Query(Plan(p.BEST_DELAY, {"mi": MI}), "run_id tau"),
     "phs3_false_neighbours": Query(Plan(p.FALSE_NEIGHBOURS, {"points": POINTS}), "run_id ~share"),
     "phs4_correlation_dimension": Query(CDIM, "run_id ~dimension"),
-    "phs5_lyapunov": Query(Plan(p.LYAPUNOV, {"distances": DIST}), "run_id ~exponent"),
+    "phs5_lyapunov": Query(LYAP, "run_id ~exponent"),
     "phs6_attractor_volume": Query(Plan(p.ATTRACTOR_VOLUME, {"points": POINTS}), "run_id ~volume voxels", digits=9),
-    "phs7_fractal_measure": Query(Plan(p.FRACTAL_MEASURE, {"dimension": CDIM}), "run_id ~measure"),
-    "phs8_information_dimension": Query(Plan(p.INFORMATION_DIMENSION, {"series": SERIES}), "run_id ~dimension"),
+    "phs7_fractal_measure": Query(MEASURE, "run_id ~measure"),
+    "phs8_information_dimension": Query(INFO, "run_id ~dimension"),
     "phs9_recurrence": Query(REC, "run_id i j"),
     "phs10_rqa": Query(RQA, "run_id ~rate ~determinism longest ~entropy ~laminarity ~trapping"),
-    "phs11_trajectory_anomaly": Query(Plan(p.TRAJECTORY_ANOMALY, {"points": POINTS, "knn": KNN}), "run_id frame ~score"),
-    "phs12_dynamics": Query(DYN, "run_id ~roughness ~chaos ~predictability"),
+    "phs11_trajectory_anomaly": Query(PATH, "run_id frame ~score"),
+    "phs12_dynamics": Query(DYN, "run_id ~chaos ~predictability ~complexity ~entropy_rate ~stability"),
     "phs13_periodic": Query(Plan(p.PERIODIC, {"power": POWER}), "run_id frequency ~strength ~score"),
-    "phs14_integrated": Query(Plan(p.INTEGRATED, {"dynamics": DYN, "dimension": CDIM, "rqa": RQA}), "run_id ~score regime"),
+    "phs14_risk": Query(RISK, "run_id ~risk"),
+    "phs14_integrated": Query(Plan(p.INTEGRATED, {"trajectory": PATH, "risk": RISK}), "run_id frame ~score"),
     "ext1_dft_power": Query(POWER, "run_id k ~power", digits=3),
     "ext2_gradual": Query(Plan(p.GRADUAL, {"gradient": Plan(s.GRADIENT, {"series": SMOOTH})}), "run_id frame ~z"),
     "ext3_drift": Query(Plan(p.DRIFT_EXTENDED, {"x": Plan(p.DRIFT_WINDOW, {"series": d.RHO})}), "run_id frame ~drift"),

@@ -1,4 +1,4 @@
-"""Query op11 with its SQL."""
+"""Queries op11 and op12 with their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm._session import table
 from strandflow.llm._store import drop
+from strandflow.llm.centroids import clustered
 from strandflow.llm.lexical_search import build_index, search
 
 
@@ -17,7 +18,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"op11_lexical_search": op11_lexical_search}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector with its cluster after ten rounds."""
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_centroids": op12_centroids}
 
 _OP11 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
@@ -30,4 +36,22 @@ x AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 *
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10
 """
 
-ORACLES = {"op11_lexical_search": _OP11}
+_NEAREST = """
+a{r} AS MATERIALIZED (SELECT i, vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT i, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - m[j]) * (v[j] - m[j])))::BIGINT AS d FROM k, c{r}) GROUP BY ALL)"""
+_MEANS = """
+c{s} AS MATERIALIZED (SELECT c, coalesce(new, m) AS m FROM c{r} LEFT JOIN (SELECT c, list(CAST(floor(x / n) AS BIGINT) ORDER BY j) AS new
+  FROM (SELECT c, j, sum(v[j])::BIGINT AS x, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j) GROUP BY c) USING (c))"""
+_OP12 = (
+    """
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v AS m FROM k QUALIFY c < 8),"""
+    + ",".join(_NEAREST.format(r=r) + "," + _MEANS.format(r=r, s=r + 1) for r in range(10))
+    + ","
+    + _NEAREST.format(r=10)
+    + """
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (c)
+"""
+)
+
+ORACLES = {"op11_lexical_search": _OP11, "op12_centroids": _OP12}

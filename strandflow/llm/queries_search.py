@@ -1,4 +1,4 @@
-"""Queries op11 and op12 with their SQL."""
+"""Queries op11, op12 and op13 with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandflow.llm._session import table
 from strandflow.llm._store import drop
 from strandflow.llm.centroids import clustered
+from strandflow.llm.html_article import extract
 from strandflow.llm.lexical_search import build_index, search
 
 
@@ -23,7 +24,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_centroids": op12_centroids}
+def op13_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_centroids": op12_centroids, "op13_html_article": op13_html_article}
 
 _OP11 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
@@ -54,4 +60,13 @@ SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c)):
 """
 )
 
-ORACLES = {"op11_lexical_search": _OP11, "op12_centroids": _OP12}
+# What the method must find where a page marks its article, as those of the tables do: the blocks of the article element.
+_OP13 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(replace(inner_html, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>', chr(1), 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+ORACLES = {"op11_lexical_search": _OP11, "op12_centroids": _OP12, "op13_html_article": _OP13}

@@ -1,18 +1,19 @@
 """Main text of web pages by container paths that the pages of a host agree on.
 
-First scan: each page's containers are scored, and every container near the page's best one is a vote for its path, the tags and
-classes from the root with numbers made alike. Spark sums the votes by host and path and takes a host's winning path. Second
+First scan: each page's containers are scored, and every container near the page's best one is a vote for its path, the tags,
+classes and ids from the root with numbers made alike. Spark sums the votes by host and path and takes a host's winning path. Second
 scan: the text is taken anew from the containers at the winning path; a page that has none there is read from its own best container.
 
-Score of a container: the sum over its blocks of the length of their text less twice that of links less SHORT, so that long
-paragraphs add to it and short or linked blocks take from it; what the markup names as no part of an article (menus, headers,
-footers, asides, forms, adverts, notices, comments, by tag, role, class or id) takes its whole length, and is never text. An article or main element
-weighs a quarter more. Only a header that stands in an article keeps its headings.
+Score of a container: the sum over its blocks of the length of their text less twice that of links and, outside of headings and of
+article elements, less SHORT, so that long paragraphs add to it and short or linked blocks take from it; what the markup
+names as no part of an article (menus, headers, footers, asides, forms, adverts, notices, comments, by tag, role, class or id)
+takes its whole length, and is never text. An article or main element weighs a quarter more. The header of an article keeps its
+headings alone.
 
 The winners are broadcast where they are WINNERS at most, else joined by salted host, so that no host's pages need share a task.
 
 Defined results: null html or html without an article gives empty text; unclosed tags end where HTML lets them end, or with their
-parent; a script, style or comment that never ends reaches to the end; references are decoded as HTML5 says, unknown ones stay;
+parent, and elements nested more than DEEP times are not told apart; a script, style or comment that never ends reaches to the end; references are decoded as HTML5 says, unknown ones stay;
 pages without a host (null or odd url) vote together as one; of paths with equal votes the longer one wins, then the smaller; repeated rows each get
 their text; an empty table gives no rows; other columns, whatever their names, are not read. A page is one Python string in memory.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from strandflow.llm._store import written
 from strandflow.llm._text import slices
 
-SHORT, NEAR, SALTS, WINNERS = 25, 0.5, 32, 200_000
+SHORT, NEAR, SHARP, SALTS, WINNERS, DEEP, LEVELS = 25, 0.5, 8, 32, 200_000, 500, 48
 # fixed values: elements of HTML by role in a page
-RAW = "script style noscript template textarea title iframe svg math select object canvas video audio head".split()
+RAW = "script style noscript template textarea title iframe svg select object canvas video audio head".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption section article main nav header footer aside form fieldset legend details summary address hr center menu dialog hgroup search".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,24 +49,29 @@ NOISE = frozenset(
     submenu menubar breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer foot header masthead topbar toolbar comment comments commentlist disqus
     respond replies reply share sharing social related recommended recommendations pagination pager login search searchform hidden toc""".split()
 )
+TALK = frozenset("comments comment comment-list commentlist comments-area comment-section disqus_thread respond".split())
+STORY = frozenset("article content entry post story".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NUMBER, _HIDDEN, _BODY = re.compile(r"\d+"), re.compile(r"(?:^|\s)hidden(?:\s|$|=)"), re.compile(r"<body\b", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*+>", re.I) for t in RAW}
 
 
 @dataclass
 class Node:
-    """A block-level element. blocks: own and inner ones are [first, last) of the page's; noise: it is no part of an article."""
+    """A block-level element. first, last: its blocks are [first, last) of the page's; noise: it is no part of an article;
+    named: its class, id or role names noise; head: it is a header, of an article if `own`."""
 
     tag: str
     path: str
     up: int
-    noise: bool
+    noise: bool = False
     named: bool = False
+    head: bool = False
+    own: bool = False
     first: int = 0
     last: int = 0
-    children: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -75,18 +81,21 @@ class Block:
     node: int
 
 
-def _facts(raw: str) -> tuple[str, bool, bool]:
-    """(class as a path has it, whether class, id or role name noise, whether it is not shown)."""
+def _node(tag: str, raw: str, up: int, above: str, level: int, first: int) -> Node:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if "=" in raw else {}
-    kind = ".".join(sorted(re.sub(r"\d+", "0", c) for c in found.get("class", "").split()))
-    noise = found.get("role", "").lower() in ROLES or any(w.lower() in NOISE for k in ("class", "id") if k in found for w in _WORDS.findall(found[k]))
-    shown = found.get("aria-hidden", "").lower() != "true" and "display:none" not in found.get("style", "").replace(" ", "").lower() and not re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw)
-    return kind, noise, not shown
+    names = found.get("class", "").split()
+    words = {w.lower() for n in [*names, found.get("id", "")] for w in _WORDS.findall(n)}
+    unseen = found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(_HIDDEN.search(raw))
+    talk = not TALK.isdisjoint([*names, found.get("id", "")]) and tag not in ("html", "body", "main", "article")
+    kind = _NUMBER.sub("0", "".join(f".{n}" for n in sorted(names)) + (f"#{found['id']}" if "id" in found else ""))
+    path = f"{above}/{tag}{kind}" if level <= LEVELS else above
+    named = found.get("role", "").lower() in ROLES or not NOISE.isdisjoint(words)
+    return Node(tag, path, up, tag in DROPPED or unseen or talk, named, tag == "header" or "header" in words, not STORY.isdisjoint(words), first)
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """The page's block elements, in order, and its blocks of text: what stands between two tags of block elements."""
-    nodes, blocks, at = [Node("", "", -1, False)], [], 0
+    nodes, blocks, at = [Node("", "", -1)], [], 0
     stack, text, links, inside = [0], [], 0, 0
 
     def end_block() -> None:
@@ -98,12 +107,14 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         links = 0
 
     def close(tags: set[str], within: set[str]) -> None:
+        nonlocal inside
         for depth in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[depth]].tag
             if tag in tags:
                 for n in stack[depth:]:
                     nodes[n].last = len(blocks)
                 del stack[depth:]
+                inside = inside if inside <= depth else 0
                 return
             if tag in within:
                 return
@@ -123,13 +134,13 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if tag in _RAW_END:
             end = None if closing else _RAW_END[tag].search(page, at)
             if not closing and tag == "head":
-                body = re.compile(r"<body\b", re.I).search(page, at)
+                body = _BODY.search(page, at)
                 at = min([x for x in (end and end.end(), body and body.start()) if x is not None], default=at)
             elif not closing and not m[3].endswith("/"):
                 at = end.end() if end else len(page)
             continue
         if tag == "a":
-            inside = 0 if closing else 1
+            inside = 0 if closing else len(stack)
         if tag == "br":
             text.append(" ")
         if tag not in BLOCK and tag != "button":
@@ -144,61 +155,59 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             close(CLOSES[tag], SCOPE[tag])
         if tag in VOID:
             continue
-        kind, noise, unseen = _facts(m[3])
-        own = tag in DROPPED or unseen
-        up = nodes[stack[-1]]
-        nodes.append(Node(tag, f"{up.path}/{tag}{'.' + kind if kind else ''}", stack[-1], own, noise and tag not in ("html", "body", "main", "article"), len(blocks)))
-        up.children.append(len(nodes) - 1)
-        stack.append(len(nodes) - 1)
+        if len(stack) <= DEEP:
+            nodes.append(_node(tag, m[3], stack[-1], nodes[stack[-1]].path, len(stack), len(blocks)))
+            stack.append(len(nodes) - 1)
     end_block()
     for n in stack:
         nodes[n].last = len(blocks)
-    _mark(nodes)
     return nodes, blocks
 
 
-def _mark(nodes: list[Node]) -> None:
-    """Settles which elements are noise: named ones only where they hold no article, and all that noise holds."""
-    holds = [n.tag in ("article", "main") for n in nodes]
+def mark(nodes: list[Node]) -> list[bool]:
+    """Settles which elements are noise; whether each is in an article. Names make noise only of what holds no article that is free of them."""
+    story = [n.tag in ("article", "main") for n in nodes]
+    holds = [s and not n.named and not n.noise for s, n in zip(story, nodes, strict=True)]
     for k in range(len(nodes) - 1, 0, -1):
         holds[nodes[k].up] |= holds[k] and not nodes[k].noise
-    in_article = [False] * len(nodes)
+    within = [False] * len(nodes)
     for k, n in enumerate(nodes[1:], 1):
         up = nodes[n.up]
-        in_article[k] = not up.noise and (in_article[n.up] or n.tag in ("article", "main"))
-        n.noise |= n.named and not holds[k]
+        n.noise |= n.named and not holds[k] and not story[k] and n.tag not in ("html", "body")
         if up.noise:
-            n.noise = not (up.tag == "header" and in_article[up.up] and n.tag in HEADING and not n.named)
+            n.noise = not (up.head and (within[n.up] or up.own) and n.tag in HEADING and not n.named)
+            n.head, n.own = n.head or up.head, up.own or within[n.up]
+        within[k] = (within[n.up] or story[k]) and not (story[k] and n.noise)
+    return within
 
 
 def scores(nodes: list[Node], blocks: list[Block]) -> list[float]:
-    """The score of every element."""
-    sums = [0]
+    """The score of every element; marks what is noise."""
+    within, sums = mark(nodes), [0]
     for b in blocks:
-        sums.append(sums[-1] + (-len(b.text) if nodes[b.node].noise else len(b.text) - 2 * b.linked - SHORT))
-    return [(sums[n.last] - sums[n.first]) * (1.25 if n.tag in ("article", "main") else 1.0) if not n.noise and n.tag not in ("", "p", *HEADING) else float("-inf") for n in nodes]
+        n = nodes[b.node]
+        sums.append(sums[-1] + (-len(b.text) if n.noise else len(b.text) - 2 * b.linked - (0 if within[b.node] or n.tag in HEADING else SHORT)))
+    return [(sums[n.last] - sums[n.first]) * (1.25 if n.tag in ("article", "main") else 1.0) if not n.noise and n.tag not in ("p", *HEADING) else float("-inf") for n in nodes]
 
 
 def votes(page: str) -> list[tuple[str, int]]:
-    """(path, vote) of the containers near the best one, its own 1000; all, so that nothing depends on their order."""
+    """(path, vote) of the containers near the best one, which has 1000, others much less; all, so that nothing depends on their order."""
     nodes, blocks = parse(page)
     score = scores(nodes, blocks)
     best = max(score, default=0)
     out: dict[str, int] = {}
     for n, s in zip(nodes, score, strict=True):
         if best > 0 and s >= NEAR * best:
-            out[n.path] = max(out.get(n.path, 0), int(1000 * s / best))
+            out[n.path] = max(out.get(n.path, 0), int(1000 * (s / best) ** SHARP))
     return sorted(out.items())
 
 
 def article(page: str, path: str | None) -> str:
-    """The text of the containers at the path, if any scores above 0, else of the page's best container."""
+    """The text of the containers at the path that score above 0, else of the best one there, else of the page's best container."""
     nodes, blocks = parse(page)
     score = scores(nodes, blocks)
-    chosen = [k for k, n in enumerate(nodes) if n.path == path and score[k] > 0]
-    if not chosen and score:
-        best = max(range(len(nodes)), key=lambda k: (score[k], k))
-        chosen = [best] if score[best] > float("-inf") else []
+    there = [k for k, n in enumerate(nodes) if n.path == path and score[k] > float("-inf")]
+    chosen = [k for k in there if score[k] > 0] or [max(there or range(len(nodes)), key=lambda k: (score[k], k))]
     out, seen = [], 0
     for k in chosen:
         out += [b.text for b in blocks[max(nodes[k].first, seen) : nodes[k].last] if not nodes[b.node].noise]
@@ -208,7 +217,7 @@ def article(page: str, path: str | None) -> str:
 
 def host_of(url: str = "url") -> F.Column:
     """The host of a url, A-Z lower-cased; empty without one."""
-    return F.coalesce(F.translate(F.regexp_extract(url, r"^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:

@@ -79,8 +79,8 @@ EVENT_SERIES = Op(
     "event_series",
     """
     SELECT e.event_id, s.run_id AS g, s.frame - e.start_frame AS t, e.end_frame - e.start_frame + 1 AS n, s.v
-    FROM {events} e JOIN {series} s ON s.frame BETWEEN e.start_frame AND e.end_frame""",
-    doc="the groups' scores inside each event; t counts from its start, n is its length",
+    FROM (SELECT event_id, start_frame, end_frame, RANGE(start_frame, end_frame)RANGE AS frame FROM {events}) e JOIN {series} s ON s.frame = e.frame""",
+    doc="the groups' scores inside each event; t counts from its start, n is its length; a row for each frame of an event, so that the join is by equality",
 )
 NETWORK_MODE = Op(
     "network_mode",

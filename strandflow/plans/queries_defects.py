@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 from strandflow.operators import defects as o
-from strandflow.operators import series as s
 from strandflow.plans import queries_core as c
-from strandflow.plans import queries_detect as d
 from strandflow.plans import queries_material as q
 from strandflow.plans.op import Op, Plan
+from strandflow.plans.queries_events import BROAD
 from strandflow.plans.query import Query, tables
 from strandflow.sources.adapters import ATOMS_DIM, CLUSTERS, TRAJ
 
-#: Events of many lengths: runs of high scores, and of their means over 24 frames.
-BROAD = Plan(
-    Op("broad_events", "SELECT run_id, event_id, start_frame, end_frame FROM {a} UNION ALL SELECT run_id, 10000 + event_id, start_frame, end_frame FROM {b}"),
-    {"a": d.EVENTS, "b": Plan(d.d.CRITICAL_EVENTS, {"series": d.as_series(Plan(s.MOVING_AVERAGE, {"series": d.FINAL_S}), "mean")}, {"sigmas": 1.0})},
-)
 UNIT = 0.045
 ATOMS = Plan(c.f.DEFECT_ATOMS, {"member": CLUSTERS})
 PATHS = Plan(o.PATHS, {"frames": Plan(o.EVENT_FRAMES, {"events": BROAD}), "traj": TRAJ, "atoms": ATOMS}, {"unit": UNIT})

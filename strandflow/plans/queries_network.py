@@ -53,7 +53,6 @@ QUERIES_ = {
     "net11_stats": Query(Plan(n.NETWORK_STATS, {"links": LINKS, "sync": SYNC, "pairs": NEAR}), "#n_causal #n_sync #n_async ~mean_strength ~mean_distance ~mean_lag #n_pairs ~async_ratio"),
     "net12_paths": Query(Plan(n.PATHS, {"links": LINKS}), "path hops ~weight"),
     "net16_bridges": Query(Plan(n.BRIDGES, {"links": LINKS}), "a b n_links ~total ~strongest least_lag"),
-    "grp3_event_networks": Query(Plan(n.EVENT_STATS, {"mode": MODE, "instant": INSTANT, "transition": TRANSITION}), "event_id n mode #n_links #n_causal #n_strong ~mean_strength ~mean_distance"),
     "cau1_event_causality": Query(BEST, "i j lag ~p"),
     "cau2_transfer_entropy": Query(Plan(n.TRANSFER_ENTROPY, {"series": SERIES}), "i j ~te"),
     "cau2_surrogate": Query(Plan(n.SURROGATE_TE, {"series": SERIES}), "i j ~te"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from strandflow.plans.op import Op
+from strandflow.operators import neighbours
+from strandflow.plans.op import Function, Op
 
 EMBED = Op("embed", """SELECT run_id, frame, a, b, c FROM (SELECT run_id, frame, own, v AS a, lead(v, <tau>) OVER w AS b, lead(v, 2 * <tau>) OVER w AS c FROM {series} WINDOW w AS (PARTITION BY run_id, blk ORDER BY frame)) e WHERE own AND c IS NOT NULL""", {"tau": 3}, halo=("series", "2 * tau"))
 MUTUAL_INFORMATION = Op("mutual_information", """WITH bins AS (SELECT s.run_id, s.frame, CAST(least(19, floor(20 * (s.v - r.lo) / (r.hi - r.lo + 1E-12))) AS INT) AS b FROM {series} s JOIN (SELECT run_id, min(v) AS lo, max(v) AS hi FROM {series} GROUP BY run_id) r ON r.run_id = s.run_id),
@@ -11,7 +12,8 @@ MUTUAL_INFORMATION = Op("mutual_information", """WITH bins AS (SELECT s.run_id,
     SELECT run_id, lag, sum(n / total * ln(n * total / (np * nq))) AS mi FROM m GROUP BY run_id, lag""", {"lags": 100})
 BEST_DELAY = Op("best_delay", "SELECT run_id, coalesce(min(CASE WHEN round(mi, 9) < round(p, 9) AND round(mi, 9) <= round(q, 9) THEN lag END), 1) AS tau FROM (SELECT run_id, lag, mi, lag(mi) OVER (PARTITION BY run_id ORDER BY lag) AS p, lead(mi) OVER (PARTITION BY run_id ORDER BY lag) AS q FROM {mi}) x GROUP BY run_id")
 DISTANCES = Op("phase_distances", "SELECT x.run_id, x.frame AS i, y.frame AS j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2)) AS d FROM {points} x JOIN {points} y ON y.run_id = x.run_id AND y.frame <> x.frame")
-KNN = Op("knn", "SELECT run_id, i AS frame, avg(d) AS mean_distance FROM (SELECT run_id, i, d, row_number() OVER (PARTITION BY run_id, i ORDER BY round(d, 12), j) AS r FROM {distances}) k WHERE r <= <k> GROUP BY run_id, i", {"k": 20})
+_ALL = "SELECT x.run_id, x.frame AS i, y.frame AS j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2)) AS d FROM {points} x JOIN {points} y ON y.run_id = x.run_id AND y.frame <> x.frame"
+KNN = Function("knn", f"SELECT run_id, i AS frame, avg(d) AS mean_distance FROM (SELECT run_id, i, d, row_number() OVER (PARTITION BY run_id, i ORDER BY round(d, 12), j) AS r FROM ({_ALL}) d) k WHERE r <= <k> GROUP BY run_id, i", {"k": 20}, run=neighbours.knn_mean, doc="by tiles; the check's form looks at all pairs")
 KNN_ANOMALY = Op("knn_anomaly", "SELECT k.run_id, k.frame + <shift> AS frame, CASE WHEN s.sd > 1E-10 THEN greatest(-5.0E0, least(5.0E0, (k.mean_distance - s.m) / s.sd)) ELSE 0 END AS z FROM {knn} k JOIN (SELECT run_id, avg(mean_distance) AS m, stddev_pop(mean_distance) AS sd FROM {knn} GROUP BY run_id) s ON s.run_id = k.run_id", {"shift": 3})
 FALSE_NEIGHBOURS = Op("false_neighbours", """SELECT n.run_id, avg(CASE WHEN abs(x.c - y.c) > <ratio> * n.d THEN 1.0E0 ELSE 0.0E0 END) AS share FROM (SELECT run_id, i, j, d FROM (SELECT run_id, i, j, d, row_number() OVER (PARTITION BY run_id, i ORDER BY round(d, 12), j) AS r FROM (
       SELECT x.run_id, x.frame AS i, y.frame AS j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2)) AS d FROM {points} x JOIN {points} y ON y.run_id = x.run_id AND y.frame <> x.frame) p) q WHERE r = 1) n
@@ -53,7 +55,37 @@ ATTRACTOR_VOLUME = Op("attractor_volume", "SELECT run_id, count(*) / power(128.0
 FRACTAL_MEASURE = Op("fractal_measure", "SELECT run_id, dimension / <m> AS measure FROM {dimension}", {"m": 3.0})
 INFORMATION_DIMENSION = Op("information_dimension", """SELECT run_id, regr_slope(h, ln(k)) AS dimension FROM (SELECT run_id, k, -sum(n / total * ln(n / total)) AS h FROM (SELECT run_id, k, n, sum(n) OVER (PARTITION BY run_id, k) AS total FROM (SELECT p.run_id, k.k, CAST(floor(k.k * (p.v - r.lo) / (r.hi - r.lo + 1E-12)) AS INT) AS b, count(*) * 1.0E0 AS n
     FROM {series} p JOIN (SELECT run_id, min(v) AS lo, max(v) AS hi FROM {series} GROUP BY run_id) r ON r.run_id = p.run_id CROSS JOIN (SELECT 10 * k0.k0 AS k FROM (SELECT RANGE(1, 8)RANGE AS k0) k0 WHERE k0.k0 IN (1, 2, 4, 8)) k GROUP BY p.run_id, k.k, CAST(floor(k.k * (p.v - r.lo) / (r.hi - r.lo + 1E-12)) AS INT)) c) t GROUP BY run_id, k) e GROUP BY run_id""")
-RECURRENCE = Op("recurrence", "SELECT run_id, i, j FROM {distances} WHERE d < <radius>", {"radius": 0.1})
+RECURRENCE = Function("recurrence", f"SELECT run_id, i, j FROM ({_ALL}) d WHERE d < <radius>", {"radius": 0.1}, run=neighbours.within, doc="by tiles; the check's form looks at all pairs")
+FALSE_SHARES = Function(
+    "false_shares",
+    """
+    WITH value AS (SELECT s.run_id, s.frame, d.tau, list(t.v ORDER BY k.k) AS x FROM {series} s JOIN {delays} d ON d.run_id = s.run_id CROSS JOIN (SELECT RANGE(0, <most>)RANGE AS k) k JOIN {series} t ON t.run_id = s.run_id AND t.frame = s.frame + k.k * d.tau GROUP BY s.run_id, s.frame, d.tau),
+    pair AS (SELECT a.run_id, a.frame AS i, b.frame AS j, a.x AS x, b.x AS y, unnest(range(1, least(<most>, len(a.x), len(b.x)) + 1)) AS m FROM value a JOIN value b ON b.run_id = a.run_id AND b.frame <> a.frame),
+    far AS (SELECT run_id, i, j, m, sqrt(list_sum(list_transform(range(1, m + 1), lambda k: power(x[k] - y[k], 2)))) AS d, abs(x[m + 1] - y[m + 1]) AS step FROM pair),
+    near AS (SELECT run_id, i, m, arg_min(struct_pack(d := d, step := step), [round(d, 12), j]) AS e FROM far GROUP BY run_id, i, m),
+    size AS (SELECT run_id, m, count(*) AS n FROM (SELECT run_id, unnest(range(1, least(<most>, len(x)) + 1)) AS m FROM value) v GROUP BY run_id, m)
+    SELECT s.run_id, s.m, s.n, coalesce(sum(CASE WHEN e.d > 1E-10 AND e.step > <ratio> * e.d THEN 1.0E0 ELSE 0.0E0 END), 0) / s.n AS share FROM size s LEFT JOIN near q ON q.run_id = s.run_id AND q.m = s.m GROUP BY s.run_id, s.m, s.n""",
+    {"most": 10, "ratio": 10.0},
+    run=neighbours.false_shares,
+    doc="of every dimension to `most`, at the run's own delay; neighbours by tiles, in the check's form by all pairs",
+)
+EMBEDDING = Op(
+    "embedding",
+    """
+    WITH length AS (SELECT run_id, count(*) AS n FROM {series} GROUP BY run_id),
+    room AS (SELECT l.run_id, d.tau, CAST(least(<most>, floor(l.n / (d.tau * 10.0E0))) AS INT) AS top FROM length l JOIN {delays} d ON d.run_id = l.run_id),
+    tried AS (
+        SELECT run_id, m, share, before_ FROM (
+            SELECT s.run_id, s.m, s.share, r.top, s.n, lag(s.share) OVER (PARTITION BY s.run_id ORDER BY s.m) AS before_ FROM {shares} s JOIN room r ON r.run_id = s.run_id) t
+        WHERE m <= top AND n >= <points>),
+    chosen AS (
+        SELECT run_id, min(CASE WHEN (share < 0.05E0 AND m >= 3) OR (before_ - share > 0.3E0 AND share < 0.1E0) THEN m END) AS early FROM tried GROUP BY run_id),
+    least_ AS (SELECT run_id, m FROM (SELECT run_id, m, row_number() OVER (PARTITION BY run_id ORDER BY round(share, 12), m) AS r FROM tried) t WHERE r = 1)
+    SELECT r.run_id, r.tau, CAST(CASE WHEN r.top < 2 OR l.m IS NULL THEN 3 ELSE coalesce(c.early, greatest(3, l.m)) END AS INT) AS m
+    FROM room r LEFT JOIN chosen c ON c.run_id = r.run_id LEFT JOIN least_ l ON l.run_id = r.run_id""",
+    {"most": 10, "points": 100},
+    doc="the dimension: the first with hardly any false neighbours, or after a great fall of their share, else that of the smallest share, three at least",
+)
 RECURRENCE_LINES = """SELECT run_id, {key} AS line, count(*) AS len FROM (SELECT run_id, i, j, {at} - row_number() OVER (PARTITION BY run_id, {key} ORDER BY {at}) AS island FROM {{recurrence}}) x GROUP BY run_id, {key}, island"""
 RQA = Op("rqa", f"""SELECT p.run_id, p.n / (t.n * (t.n - 1.0E0)) AS rate, d.det / p.n AS determinism, d.longest, d.h AS entropy, v.lam / p.n AS laminarity, v.trapping FROM (SELECT run_id, count(*) * 1.0E0 AS n FROM {{recurrence}} GROUP BY run_id) p JOIN (SELECT run_id, count(*) * 1.0E0 AS n FROM {{points}} GROUP BY run_id) t ON t.run_id = p.run_id
     JOIN (SELECT run_id, sum(CASE WHEN len >= 2 THEN len * k ELSE 0 END) * 1.0E0 AS det, max(len) AS longest, coalesce(-sum(CASE WHEN len >= 2 THEN k * 1.0E0 / kk * ln(k * 1.0E0 / kk) END), 0) AS h FROM (SELECT run_id, len, count(*) AS k, sum(CASE WHEN len >= 2 THEN count(*) ELSE 0 END) OVER (PARTITION BY run_id) AS kk FROM ({RECURRENCE_LINES.format(key='j - i', at='i').replace('{{', '{').replace('}}', '}')}) l GROUP BY run_id, len) m GROUP BY run_id) d ON d.run_id = p.run_id

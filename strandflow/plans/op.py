@@ -85,6 +85,16 @@ class Op:
         return spark.sql(spark_sql(self.render(params)), **frames)
 
 
+@dataclass(frozen=True)
+class Function(Op):
+    """An operator whose Spark form is a function of DataFrames and parameters; `sql` is its form for the checking engine."""
+
+    run: Callable[..., DataFrame] | None = None
+
+    def __call__(self, **given) -> DataFrame:
+        return self.run(**{**self.params, **given})
+
+
 @dataclass(frozen=True)
 class Source:
     """A named input: how Spark reads it, and its SQL over the driver's tables."""

@@ -21,9 +21,11 @@ SERIES = d.as_series(Plan(s.Z_NORMALISE, {"series": HOURLY}), "z")
 POINTS = Plan(p.EMBED, {"series": SERIES})
 MI = Plan(p.MUTUAL_INFORMATION, {"series": SERIES})
 DIST = Plan(p.DISTANCES, {"points": POINTS})
-KNN = Plan(p.KNN, {"distances": DIST})
+KNN = Plan(p.KNN, {"points": POINTS})
 CDIM = Plan(p.CORRELATION_DIMENSION, {"distances": DIST})
-REC = Plan(p.RECURRENCE, {"distances": DIST})
+REC = Plan(p.RECURRENCE, {"points": POINTS})
+DELAY = Plan(p.BEST_DELAY, {"mi": MI})
+SHARES = Plan(p.FALSE_SHARES, {"series": SERIES, "delays": DELAY})
 RQA = Plan(p.RQA, {"recurrence": REC, "points": POINTS})
 NEXT = Plan(p.NEIGHBOURS, {"points": POINTS})
 DYN = Plan(p.DYNAMICS, {"neighbours": NEXT})
@@ -38,7 +40,9 @@ SMOOTH = Plan(s.GAUSSIAN_SMOOTH, {"series": SERIES})
 QUERIES_ = {
     "phs1_embed": Query(POINTS, "run_id frame ~a ~b ~c"),
     "phs2_mutual_information": Query(MI, "run_id lag ~mi"),
-    "phs2_best_delay": Query(Plan(p.BEST_DELAY, {"mi": MI}), "run_id tau"),
+    "phs2_best_delay": Query(DELAY, "run_id tau"),
+    "phs3_false_shares": Query(SHARES, "run_id m n ~share"),
+    "phs3_dimension": Query(Plan(p.EMBEDDING, {"series": SERIES, "delays": DELAY, "shares": SHARES}), "run_id tau m"),
     "phs3_false_neighbours": Query(Plan(p.FALSE_NEIGHBOURS, {"points": POINTS}), "run_id ~share"),
     "phs4_correlation_dimension": Query(CDIM, "run_id ~dimension"),
     "phs5_lyapunov": Query(LYAP, "run_id ~exponent"),

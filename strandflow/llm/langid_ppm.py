@@ -170,12 +170,15 @@ def train(labelled: DataFrame, key: str = "doc_id", per_language: int = PER_LANG
     keep = F.lit(True)
     for k, least in _LEAST.items():
         keep &= (F.col("k") != k) | (F.col("n") >= least)
-    counts = nodes.where(keep).toPandas()
-    languages = sorted(counts["lang"].unique())
-    trees = []
-    for lang in languages:
-        c = counts[counts["lang"] == lang]
-        trees.append(tree({k: (g["key"].to_numpy().astype(np.uint64), g["n"].to_numpy().astype(np.float64)) for k, g in c.groupby("k")}))
+    counts = nodes.where(keep).select("lang", "k", "key", "n").toArrow()  # as columns: rows would take many times the memory
+    lang = counts.column("lang").combine_chunks().dictionary_encode()
+    order, key, n = (counts.column(c).to_numpy() for c in ("k", "key", "n"))
+    found = lang.dictionary.to_pylist()
+    own, trees = lang.indices.to_numpy(), []
+    languages = sorted(found)
+    for name in languages:
+        mine = own == found.index(name)
+        trees.append(tree({int(k): (key[mine & (order == k)].astype(np.uint64), n[mine & (order == k)].astype(np.float64)) for k in np.unique(order[mine])}))
     return Model(languages, trees)
 
 

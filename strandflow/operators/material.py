@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from strandflow.plans.op import Op, Source
+from strandflow.operators import scan
+from strandflow.plans.op import Function, Op, Source
 
 #: Material constants (GPa, angstrom, K, MPa m^0.5).
 MATERIALS = [
@@ -42,22 +43,11 @@ DEFECT_CHARGE = Op("defect_charge", """SELECT group_id, frame, q, sum(q) OVER (P
 MATERIAL_COHERENCE = Op("material_coherence", "SELECT c.frame, avg(CASE WHEN abs(c.coord - <ideal>) < 1 AND s.strain < 0.01E0 THEN 1.0E0 WHEN abs(c.coord - <ideal>) < 2 THEN 0.7E0 ELSE 1 / (1 + abs(c.coord - <ideal>) + s.strain) END) AS coherence FROM {coordination} c JOIN {strain} s ON s.frame = c.frame AND s.group_id = c.group_id GROUP BY c.frame", {"ideal": 8.0})
 
 INSTANT_DAMAGE = Op("instant_damage", "SELECT run_id, frame, cluster_id, CASE WHEN kv_ratio > <critical> THEN least(1.0E0, power((kv_ratio - <critical>) / <critical>, <exponent>) * <factor>) ELSE 0 END AS d FROM {kv}", {"critical": 1.5, "exponent": 2.0, "factor": 1.0})
-CUMULATIVE_DAMAGE_SPARK = "SELECT run_id, cluster_id, posexplode(aggregate(array_sort(collect_list(struct(frame, d))), cast(array() as array<double>), (a, x) -> array_append(a, if(size(a) = 0, x.d * <fatigue>, least(1.0D, element_at(a, -1) * (1 - <recovery>) + x.d * <fatigue>))))) AS (frame, damage) FROM {damage} GROUP BY run_id, cluster_id"
 CUMULATIVE_DAMAGE_PLAIN = """WITH RECURSIVE fold(run_id, cluster_id, frame, damage) AS (SELECT run_id, cluster_id, frame, d * <fatigue> FROM {damage} WHERE frame = 0
     UNION ALL SELECT f.run_id, f.cluster_id, d.frame, least(1.0, f.damage * (1 - <recovery>) + d.d * <fatigue>) FROM fold f JOIN {damage} d ON d.run_id = f.run_id AND d.cluster_id = f.cluster_id AND d.frame = f.frame + 1) SELECT run_id, cluster_id, frame, damage FROM fold"""
 
 
-class _Fold(Op):
-    """A saturating recurrence: a fold over a cluster's frames in Spark, a recursive query elsewhere."""
-
-    def plain(self, params: dict) -> str:
-        text = CUMULATIVE_DAMAGE_PLAIN
-        for k, v in {**self.params, **params}.items():
-            text = text.replace(f"<{k}>", str(v))
-        return text
-
-
-CUMULATIVE_DAMAGE = _Fold("cumulative_damage", CUMULATIVE_DAMAGE_SPARK, {"recovery": 0.01, "fatigue": 1.0})
+CUMULATIVE_DAMAGE = Function("cumulative_damage", CUMULATIVE_DAMAGE_PLAIN, {"recovery": 0.01, "fatigue": 1.0}, run=scan.cumulative_damage, doc="a scan over blocks; the check's form goes frame by frame")
 DAMAGE_RATE = Op("damage_rate", "SELECT run_id, cluster_id, frame, damage, CASE WHEN p IS NULL AND q IS NULL THEN 0 WHEN p IS NULL THEN q - damage WHEN q IS NULL THEN damage - p ELSE (q - p) / 2 END AS rate FROM (SELECT run_id, cluster_id, frame, damage, lag(damage) OVER w AS p, lead(damage) OVER w AS q FROM {damage} WINDOW w AS (PARTITION BY run_id, cluster_id ORDER BY frame)) x")
 DAMAGE_SUMMARY = Op("damage_summary", """SELECT cluster_id, final_damage, final_rate, critical, greatest(1 - exp(-power(max_damage / <d0>, <m>)), n_critical * 1.0E0 / n_clusters) AS failure_probability, CASE WHEN recent_rate > 1E-6 THEN greatest(0.0E0, (1 - final_damage) / recent_rate) END AS remaining FROM (
     SELECT *, sum(CASE WHEN critical THEN 1 ELSE 0 END) OVER () AS n_critical, count(*) OVER () AS n_clusters, max(most) OVER () AS max_damage FROM (SELECT r.cluster_id, max_by(r.damage, r.frame) AS final_damage, max_by(r.rate, r.frame) AS final_rate, max(r.damage) AS most, avg(CASE WHEN r.frame > n.last - 10 THEN r.rate END) AS recent_rate,

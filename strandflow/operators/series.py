@@ -29,8 +29,14 @@ GAUSSIAN_FILTER = Op("gaussian_filter", """SELECT s.run_id, s.frame, sum(t.v * e
     GROUP BY s.run_id, s.frame""", {"sigma": 4.0, "reach": 16}, doc="reflected edges, cut at four sigma; series longer than the reach")
 CONVOLVE = Op("convolve", """SELECT run_id, frame, c FROM (SELECT run_id, frame, own, (lag(v) OVER w) * <k0> + v * <k1> + (lead(v) OVER w) * <k2> AS c FROM {series} WINDOW w AS (PARTITION BY run_id, blk ORDER BY frame)) f
     WHERE own AND c IS NOT NULL""", {"k0": 0.25, "k1": 0.5, "k2": 0.25}, halo=("series", "1"), doc="valid part of a three-point convolution")
-CONVOLVE_2D = Op("convolve_2d", """SELECT a.i, a.j, sum(b.v * CASE WHEN abs(a.i - b.i) + abs(a.j - b.j) = 0 THEN 0.5E0 ELSE 0.0625E0 END) AS c, count(*) AS cells
-    FROM {grid} a JOIN {grid} b ON b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 GROUP BY a.i, a.j""")
+CONVOLVE_2D = Op(
+    "convolve_2d",
+    """
+    SELECT a.run_id, a.i, a.j, sum(b.v * CASE WHEN a.di = 0 AND a.dj = 0 THEN 0.5E0 ELSE 0.0625E0 END) AS c, count(*) AS cells
+    FROM (SELECT run_id, i, j, CAST(k % 3 - 1 AS INT) AS di, CAST(floor(k / 3) - 1 AS INT) AS dj FROM {grid} CROSS JOIN (SELECT RANGE(0, 8)RANGE AS k) k) a
+    JOIN {grid} b ON b.run_id = a.run_id AND b.i = a.i + a.di AND b.j = a.j + a.dj GROUP BY a.run_id, a.i, a.j""",
+    doc="3 x 3 kernel over every run's grid, cut at its edges; each cell meets its nine neighbours by equality",
+)
 Z_NORMALISE = Op("z_normalise", """SELECT s.run_id, s.frame, CASE WHEN c.sd < 1E-10 THEN coalesce(s.v, c.m) - c.m ELSE greatest(-5.0E0, least(5.0E0, (coalesce(s.v, c.m) - c.m) / c.sd)) END AS z
     FROM {series} s JOIN (SELECT run_id, avg(v) AS m, stddev_pop(v) AS sd FROM {series} GROUP BY run_id) c ON c.run_id = s.run_id""")
 LOCAL_Z = Op("local_z", """SELECT run_id, frame, CASE WHEN sd > 1E-10 THEN abs(v - m) / sd ELSE 0 END AS z FROM (SELECT run_id, frame, own, v, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd

@@ -9,7 +9,7 @@ from strandflow.plans.op import Op, Plan
 from strandflow.plans.query import Query, tables
 from strandflow.sources.adapters import ATOMS_DIM, CLUSTERS, HOURLY, RESIDUES, TRAJ
 
-GRID = Op("grid", "SELECT DISTINCT CAST(frame % 24 AS INT) AS i, CAST(floor(frame / 24) AS INT) AS j, v FROM {series} WHERE run_id = (SELECT min(run_id) FROM {series})")
+GRID = Op("grid", "SELECT run_id, CAST(frame % 24 AS INT) AS i, CAST(floor(frame / 24) AS INT) AS j, v FROM {series}", light=True)
 COM = Plan(f.CENTRE, {"traj": TRAJ})
 RMSD = Plan(f.RMSD, {"traj": TRAJ})
 RG = Plan(f.GYRATION, {"traj": TRAJ})
@@ -71,7 +71,7 @@ QUERIES_ = {
     "ten3_sliding": Query(Plan(s.SLIDING, {"series": HOURLY}), "run_id frame ~mean ~std ~var ~mx ~mn ~total", digits=9),
     "ten3_sliding_median": Query(Plan(s.SLIDING_MEDIAN, {"series": HOURLY}), "run_id frame ~med"),
     "ten4_convolve": Query(Plan(s.CONVOLVE, {"series": HOURLY}), "run_id frame ~c"),
-    "ten4_convolve_2d": Query(Plan(s.CONVOLVE_2D, {"grid": Plan(GRID, {"series": HOURLY})}), "i j ~c cells", digits=9),
+    "ten4_convolve_2d": Query(Plan(s.CONVOLVE_2D, {"grid": Plan(GRID, {"series": HOURLY})}), "run_id i j ~c cells", digits=9),
     "ten5_gaussian_filter": Query(Plan(s.GAUSSIAN_FILTER, {"series": HOURLY}), "run_id frame ~v"),
     "ten8_rolling": Query(Plan(s.ROLLING, {"series": HOURLY}), "run_id frame ~mean ~std"),
     "ten9_moving_average": Query(Plan(s.MOVING_AVERAGE, {"series": HOURLY}), "run_id frame ~mean", digits=9),

@@ -47,11 +47,13 @@ def kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means and counts of events per type over 30 days; hours without events are 0. A run per type."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600).cast("int")
-    h = e.select("event_type", hour.alias("frame"), F.col("value").cast("double").alias("value")).groupBy("event_type", "frame").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
-    grid = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("frame"))
+    """Hourly means and counts of events per type, from the day of the first event to the end of the day of the last; hours without events are 0. A run per type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    span = e.agg(F.date_trunc("day", F.min("ts")).alias("start"), F.date_trunc("day", F.max("ts")).alias("end"))
+    hours = span.select("start", ((F.unix_timestamp("end") - F.unix_timestamp("start")) / 3600 + 24).cast("int").alias("hours"))
+    hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp("start")) / 3600).cast("int")
+    h = e.crossJoin(F.broadcast(hours)).groupBy("event_type", hour.alias("frame")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))  # one row
+    grid = e.select("event_type").distinct().crossJoin(F.broadcast(hours)).select("event_type", F.explode(F.sequence(F.lit(0), F.col("hours") - 1)).alias("frame"))
     out = grid.join(h, ["event_type", "frame"], "left")
     return out.select(F.col("event_type").alias("run_id"), "frame", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -64,5 +66,5 @@ KV = Source("kv_table", kv, """SELECT 'run0' AS run_id, f::INT AS frame, c::INT
     FROM (SELECT unnest(range(0, (datediff('day', a, b) + 1)::BIGINT)) AS f, a FROM (SELECT min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS b FROM lineitem)) g, range(5) r(c)
     LEFT JOIN (SELECT l_shipdate::DATE AS d, l_suppkey % 5 AS k, avg(l_quantity::DOUBLE) / 20 AS kv FROM lineitem GROUP BY 1, 2) m ON m.d = a + f::INT AND m.k = c""")
 HOURLY = Source("hourly_series", hourly, """SELECT t.event_type AS run_id, f::INT AS frame, coalesce(h.v, 0.0) AS v, coalesce(h.n, 0)::BIGINT AS n
-    FROM (SELECT DISTINCT event_type FROM events) t, range(720) r(f)
-    LEFT JOIN (SELECT event_type, floor((epoch(ts::TIMESTAMP) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 3600)::INT AS hr, avg(value::DOUBLE) AS v, count(*) AS n FROM events GROUP BY 1, 2) h ON h.event_type = t.event_type AND h.hr = f""")
+    FROM (SELECT DISTINCT event_type FROM events) t, (SELECT unnest(range(0, 24 * (datediff('day', min(ts::TIMESTAMP), max(ts::TIMESTAMP)) + 1)::BIGINT)) AS f FROM events) r
+    LEFT JOIN (SELECT event_type, floor((epoch(ts::TIMESTAMP) - epoch(date_trunc('day', m.first))) / 3600)::INT AS hr, avg(value::DOUBLE) AS v, count(*) AS n FROM events, (SELECT min(ts::TIMESTAMP) AS first FROM events) m GROUP BY 1, 2) h ON h.event_type = t.event_type AND h.hr = f""")

@@ -52,28 +52,6 @@ def periodicity(series: DataFrame, distance: int = 5) -> DataFrame:
     return series.groupBy("run_id").applyInPandas(run, "run_id string, frequency int, amplitude double")
 
 
-def granger(series: DataFrame, order: int = 2) -> DataFrame:
-    """(i, j, f): how much i's past adds to j's own past in predicting j, as an F statistic without intercept."""
-    packed = series.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s")).select("run_id", F.transform("s", lambda x: x["v"]).alias("v"))
-    pairs = packed.toDF("i", "x").join(packed.toDF("j", "y"), F.col("i") != F.col("j"))
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for i, j, x, y in zip(f["i"], f["j"], f["x"], f["y"], strict=True):
-                n = min(len(x), len(y))
-                x, y = np.asarray(x[:n]), np.asarray(y[:n])
-                own = np.column_stack([y[order - k : n - k] for k in range(1, order + 1)])
-                both = np.column_stack([own, *(x[order - k : n - k] for k in range(1, order + 1))])
-                target = y[order:]
-                rss = [float(np.sum((target - m @ np.linalg.lstsq(m, target, rcond=None)[0]) ** 2)) for m in (own, both)]
-                free = len(target) - 2 * order
-                out.append((i, j, (rss[0] - rss[1]) / order / (rss[1] / free) if free > 0 and rss[1] > 1e-12 else 0.0))
-            yield pd.DataFrame(out, columns=["i", "j", "f"])
-
-    return pairs.mapInPandas(run, "i string, j string, f double")
-
-
 def greedy_clusters(points: DataFrame, least: int = 12, most: int = 14) -> DataFrame:
     """(run_id, atom_id, group_id) of one frame's points (run_id, atom_id, x, y, z): each cluster grows from the first free atom to its nearest ones; a last cluster below `least` joins the nearest centres."""
 
@@ -93,24 +71,6 @@ def greedy_clusters(points: DataFrame, least: int = 12, most: int = 14) -> DataF
     return points.groupBy("run_id").applyInPandas(run, "run_id string, atom_id int, group_id int")
 
 
-def box_fractal(series: DataFrame, window: int = 50) -> DataFrame:
-    """(run_id, frame, fd): minus the sums' ratio of log box counts to log box sizes in windows [-w, w), clipped to 1..3."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        v, out = pdf["v"].to_numpy(), np.ones(len(pdf))
-        for i in range(window, len(v) - window):
-            x = v[i - window : i + window]
-            span = x.max() - x.min()
-            if span > 1e-10:
-                sizes = np.array([2, 4, 8, 16])
-                counts = [sum(max(1, int(np.ceil((c.max() - c.min()) / (span / (2 * window / s))))) for c in np.array_split(x, max(1, 2 * window // s))) for s in sizes]
-                out[i] = np.clip(np.log(counts).sum() / np.log(2 * window / sizes).sum(), 1, 3)
-        return pd.DataFrame({"run_id": pdf["run_id"], "frame": pdf["frame"], "fd": out})
-
-    return series.groupBy("run_id").applyInPandas(run, "run_id string, frame int, fd double")
-
-
 def strongest_path(links: DataFrame, start: str, hops: int = 4) -> DataFrame:
     """(hop, from_id, to_id, strength): from `start`, the strongest link to a node not yet on the path, one join a hop."""
     spark = links.sparkSession

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.operators import detect as dt
+from strandflow.operators import ordered as o
 from strandflow.operators import phase as p
 from strandflow.operators import sequential as q
 from strandflow.operators import series as s
 from strandflow.plans import queries_core as c
 from strandflow.plans import queries_detect as d
 from strandflow.plans import queries_network as n
-from strandflow.plans.op import Plan
+from strandflow.plans.op import Op, Plan
 from strandflow.plans.query import Query, tables
 from strandflow.sources.adapters import HOURLY, TRAJ
 
@@ -60,6 +61,7 @@ QUERIES_ = {
     "ext2_gradual": Query(Plan(p.GRADUAL, {"gradient": Plan(s.GRADIENT, {"series": SMOOTH})}), "run_id frame ~z"),
     "ext3_drift": Query(Plan(p.DRIFT_EXTENDED, {"x": Plan(p.DRIFT_WINDOW, {"series": d.RHO})}), "run_id frame ~drift"),
     "ext4_contraction": Query(Plan(p.CONTRACTION, {"gradient": Plan(s.GRADIENT, {"series": d.RG}), "rolling": Plan(s.ROLLING, {"series": d.RG})}), "run_id frame ~score"),
+    "cau5_granger": Query(Plan(o.granger(2), {"lagged": Plan(o.lagged(2), {"series": d.GROUP_ANOM})}), "i j ~f", digits=4),
     "ext5_knn_anomaly": Query(Plan(p.KNN_ANOMALY, {"knn": KNN}), "run_id frame ~z"),
 }
 
@@ -68,22 +70,23 @@ def bnd6_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.peaks(d.CAND.spark(spark, sf_dir))
 
 
+RISES = Plan(Op("rises", "SELECT run_id, frame, v FROM {x} WHERE v > high"), {"x": Plan(dt.PEAK_CANDIDATES, {"series": HOURLY})})
+
+
 def bnd7_simple_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.peaks(Plan(dt.PEAK_CANDIDATES, {"series": HOURLY}).spark(spark, sf_dir), least_distance=5)
+    return o.left_to_right(RISES.spark(spark, sf_dir), distance=5)
 
 
 def bnd1_box_fractal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.box_fractal(d.RHO.spark(spark, sf_dir))
+    """Of the tension and of every type's hourly means."""
+    both = d.RHO.spark(spark, sf_dir).unionByName(HOURLY.read(spark, sf_dir).select("run_id", "frame", "v"))
+    return o.box_fractal(both).withColumn("fd", F.round("fd", 5))
 
 
 def ext1_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.periodicity(HOURLY.read(spark, sf_dir))
 
 
-def cau5_granger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.granger(d.GROUP_ANOM.spark(spark, sf_dir))
-
-
 def prj10_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.greedy_clusters(TRAJ.read(spark, sf_dir).where("frame = 0"), least=4, most=5)
 
@@ -101,4 +104,13 @@ def grp4_group_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES, ORACLES = tables(QUERIES_)
-QUERIES |= {f.__name__: f for f in (bnd1_box_fractal, bnd6_peaks, bnd7_simple_peaks, ext1_periodicity, cau5_granger, prj10_greedy_clusters, net13_strongest_path, grp4_group_peaks)}
+QUERIES |= {f.__name__: f for f in (bnd1_box_fractal, bnd6_peaks, bnd7_simple_peaks, ext1_periodicity, prj10_greedy_clusters, net13_strongest_path, grp4_group_peaks)}
+
+ORACLES["bnd7_simple_peaks"] = f"""
+SELECT run_id, unnest(kept).f::INT AS frame, unnest(kept).v AS v FROM (SELECT run_id, list_reduce(list_prepend(CAST([] AS STRUCT(f BIGINT, v DOUBLE)[]), list([{{'f': frame::BIGINT, 'v': v}}] ORDER BY frame)),
+  lambda a, x: CASE WHEN len(a) > 0 AND x[1].f - a[-1].f < 5 THEN a ELSE list_concat(a, x) END) AS kept FROM ({RISES.statement()}) GROUP BY run_id)"""
+ORACLES["bnd1_box_fractal"] = f"""
+WITH s AS (SELECT run_id, frame, v FROM ({d.RHO.statement()}) UNION ALL SELECT run_id, frame, v FROM ({HOURLY.sql})),
+w AS (SELECT run_id, frame, list(v) OVER (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS x FROM s),
+b AS (SELECT *, list_min(x) AS lo, list_max(x) - list_min(x) AS span, list_transform(range(2, 11), lambda k: 1 + len(list_filter(range(2, len(x) + 1), lambda t: floor((x[t] - list_min(x)) / ((list_max(x) - list_min(x)) / k) + 1e-9) <> floor((x[t - 1] - list_min(x)) / ((list_max(x) - list_min(x)) / k) + 1e-9)))) AS n FROM w)
+SELECT run_id, frame, CASE WHEN span < 1e-10 THEN 1.0 ELSE round(greatest(1, least(3, -list_sum(list_transform(n, lambda c: ln(c))) / list_sum(list_transform(range(2, 11), lambda k: ln(span / k))))), 5) END AS fd FROM b"""

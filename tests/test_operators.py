@@ -167,14 +167,6 @@ def test_peaks_keep_their_distance(spark):
     assert sorted(got["frame"]) == [70, 200, 320]
 
 
-def test_granger_prefers_the_cause(spark):
-    r = np.random.default_rng(4)
-    x = r.normal(size=400)
-    y = np.concatenate(([0], x[:-1])) + 0.1 * r.normal(size=400)
-    f = sequential.granger(frame(spark, x, "x").unionByName(frame(spark, y, "y"))).toPandas().set_index("i")["f"]
-    assert f["x"] > 100 > f["y"]
-
-
 def test_spectrum_finds_a_sine(spark):
     got = sequential.periodicity(frame(spark, np.sin(2 * np.pi * 12 * np.arange(600) / 600) + 0.01 * np.random.default_rng(5).normal(size=600))).toPandas()
     assert 12 in got.sort_values("amplitude")["frequency"].tolist()[-1:]

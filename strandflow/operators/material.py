@@ -16,7 +16,7 @@ _COLUMNS = "code, crystal, lattice, e_gpa, yield_gpa, ultimate_gpa, fatigue_gpa,
 _VALUES = " UNION ALL ".join("SELECT " + ", ".join(f"{f'{v!r}' if isinstance(v, str) else f'CAST({v} AS DOUBLE)' if isinstance(v, float) else v} AS {c}" for v, c in zip(row, _COLUMNS.split(", "), strict=True)) for row in MATERIALS)
 MATERIAL_TABLE = Source("materials", lambda spark, sf_dir: spark.sql(_VALUES), _VALUES)
 
-LOOKUP = Op("material_lookup", "SELECT w.code AS wanted, coalesce(m.code, d.code) AS code, coalesce(m.e_gpa, d.e_gpa) AS e_gpa, coalesce(m.yield_gpa, d.yield_gpa) AS yield_gpa, coalesce(m.ideal_coord, d.ideal_coord) AS ideal_coord, m.code IS NULL AS unknown FROM {wanted} w LEFT JOIN {materials} m ON m.code = w.code CROSS JOIN (SELECT * FROM {materials} WHERE code = 'SUJ2') d")
+LOOKUP = Op("material_lookup", "SELECT w.part, w.code AS wanted, coalesce(m.code, d.code) AS code, coalesce(m.e_gpa, d.e_gpa) AS e_gpa, coalesce(m.yield_gpa, d.yield_gpa) AS yield_gpa, coalesce(m.ideal_coord, d.ideal_coord) AS ideal_coord, m.code IS NULL AS unknown FROM {wanted} w LEFT JOIN {materials} m ON m.code = w.code CROSS JOIN (SELECT * FROM {materials} WHERE code = 'SUJ2') d")
 CLUSTER_COORDINATION = Op("cluster_coordination", "SELECT c.run_id, c.frame, m.group_id, avg(c.coord * 1.0E0) AS coord FROM {coordination} c JOIN {member} m ON m.atom_id = c.atom_id GROUP BY c.run_id, c.frame, m.group_id")
 
 _A, _B = ("x", "y", "z"), ("rx", "ry", "rz")

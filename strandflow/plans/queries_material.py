@@ -9,10 +9,9 @@ from strandflow.plans import queries_detect as d
 from strandflow.plans import queries_network as n
 from strandflow.plans.op import Op, Plan
 from strandflow.plans.query import Query, tables
-from strandflow.sources.adapters import ATOMS_DIM, CLUSTERS, HOURLY, KV, TRAJ
+from strandflow.sources.adapters import ATOMS_DIM, CLUSTERS, HOURLY, KV, TRAJ, WANTED
 
 MAT = m.MATERIAL_TABLE
-WANTED = Plan(Op("wanted", "SELECT code FROM {x} UNION ALL SELECT 'unknown'"), {"x": MAT})
 COORD = Plan(m.CLUSTER_COORDINATION, {"coordination": c.COORD, "member": CLUSTERS})
 STRAIN = Plan(m.STRAIN, {"traj": TRAJ, "member": CLUSTERS})
 RDAM = Plan(m.RMSD_DAMAGE, {"traj": TRAJ, "member": CLUSTERS})
@@ -35,7 +34,7 @@ AXES = Plan(i.AXES, {"anomaly": ANOMALY})
 SIGN = Plan(i.SIGNATURES, {"axes": AXES})
 
 QUERIES_ = {
-    "prj11_material_lookup": Query(Plan(m.LOOKUP, {"wanted": WANTED, "materials": MAT}), "wanted code e_gpa yield_gpa ideal_coord unknown"),
+    "prj11_material_lookup": Query(Plan(m.LOOKUP, {"wanted": WANTED, "materials": MAT}), "part wanted code e_gpa yield_gpa ideal_coord unknown"),
     "mat1_coordination": Query(COORD, "frame group_id ~coord"),
     "mat2_strain": Query(STRAIN, "frame group_id ~e00 ~e11 ~e22 ~e01 ~strain", digits=4),
     "mat3_rmsd_damage": Query(RDAM, "frame group_id ~damage"),

@@ -9,6 +9,8 @@ from strandflow.plans.op import Source
 
 SCALE = 40.0
 ATOMS = 21
+CODES = ("SUJ2", "AL7075", "Ti6Al4V", "SS316L", "unlisted")
+_IDS = "(SELECT unnest(range(0, max(len(embedding)) // 3)) AS a FROM embeddings) r"
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,21 +21,32 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("run0").alias("run_id"), "frame", "atom_id", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
 
 
+def _atom_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): the atoms of the longest embedding."""
+    longest = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.floor(F.max(F.size("embedding")) / 3).cast("int").alias("n"))
+    return longest.select(F.explode(F.expr("if(n > 0, sequence(0, n - 1), array())")).alias("id"))
+
+
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven groups of three atoms."""
-    return spark.range(ATOMS).select(F.lit("residue").alias("kind"), F.floor(F.col("id") / 3).cast("int").alias("group_id"), F.col("id").cast("int").alias("atom_id"))
+    """Groups of three atoms."""
+    return _atom_ids(spark, sf_dir).select(F.lit("residue").alias("kind"), F.floor(F.col("id") / 3).cast("int").alias("group_id"), F.col("id").alias("atom_id"))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four groups of 9, 4, 4 and 4 atoms; 0 is the healthy region."""
+    """Nine atoms as the healthy region 0, then groups of four."""
     gid = F.when(F.col("id") < 9, 0).otherwise(1 + F.floor((F.col("id") - 9) / 4)).cast("int")
-    return spark.range(ATOMS).select(F.lit("cluster").alias("kind"), gid.alias("group_id"), F.col("id").cast("int").alias("atom_id"))
+    return _atom_ids(spark, sf_dir).select(F.lit("cluster").alias("kind"), gid.alias("group_id"), F.col("id").alias("atom_id"))
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types Fe, C and Cr by position; every third atom is backbone."""
     kind = F.when(F.col("id") < 15, "Fe").when(F.col("id") < 18, "C").otherwise("Cr")
-    return spark.range(ATOMS).select(F.lit("run0").alias("run_id"), F.col("id").cast("int").alias("atom_id"), kind.alias("atom_type"), (F.col("id") % 3 == 0).alias("is_backbone"))
+    return _atom_ids(spark, sf_dir).select(F.lit("run0").alias("run_id"), F.col("id").alias("atom_id"), kind.alias("atom_type"), (F.col("id") % 3 == 0).alias("is_backbone"))
+
+
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, code): the material that a part asks for, by its size; some are unknown."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS part", f"element_at(array({', '.join(repr(c) for c in CODES)}), cast(p_size % {len(CODES)} as int) + 1) AS code")
 
 
 def kv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +72,10 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAJ = Source("traj", trajectory, f"SELECT 'run0' AS run_id, vec_id::INT AS frame, atom_id::INT AS atom_id, embedding[3 * atom_id + 1]::DOUBLE * {SCALE} AS x, embedding[3 * atom_id + 2]::DOUBLE * {SCALE} AS y, embedding[3 * atom_id + 3]::DOUBLE * {SCALE} AS z FROM embeddings, range({ATOMS}) r(atom_id)")
-RESIDUES = Source("residue_atoms", residues, f"SELECT 'residue' AS kind, (a // 3)::INT AS group_id, a::INT AS atom_id FROM range({ATOMS}) r(a)")
-CLUSTERS = Source("cluster_atoms", clusters, f"SELECT 'cluster' AS kind, (CASE WHEN a < 9 THEN 0 ELSE 1 + (a - 9) // 4 END)::INT AS group_id, a::INT AS atom_id FROM range({ATOMS}) r(a)")
-ATOMS_DIM = Source("atoms_dim", atoms, f"SELECT 'run0' AS run_id, a::INT AS atom_id, CASE WHEN a < 15 THEN 'Fe' WHEN a < 18 THEN 'C' ELSE 'Cr' END AS atom_type, a % 3 = 0 AS is_backbone FROM range({ATOMS}) r(a)")
+RESIDUES = Source("residue_atoms", residues, f"SELECT 'residue' AS kind, (a // 3)::INT AS group_id, a::INT AS atom_id FROM {_IDS}")
+CLUSTERS = Source("cluster_atoms", clusters, f"SELECT 'cluster' AS kind, (CASE WHEN a < 9 THEN 0 ELSE 1 + (a - 9) // 4 END)::INT AS group_id, a::INT AS atom_id FROM {_IDS}")
+ATOMS_DIM = Source("atoms_dim", atoms, f"SELECT 'run0' AS run_id, a::INT AS atom_id, CASE WHEN a < 15 THEN 'Fe' WHEN a < 18 THEN 'C' ELSE 'Cr' END AS atom_type, a % 3 = 0 AS is_backbone FROM {_IDS}")
+WANTED = Source("wanted_codes", wanted, f"SELECT p_partkey AS part, ([{', '.join(repr(c) for c in CODES)}])[p_size % {len(CODES)} + 1] AS code FROM part")
 KV = Source("kv_table", kv, """SELECT 'run0' AS run_id, f::INT AS frame, c::INT AS cluster_id, coalesce(m.kv, 1.0) AS kv_ratio
     FROM (SELECT unnest(range(0, (datediff('day', a, b) + 1)::BIGINT)) AS f, a FROM (SELECT min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS b FROM lineitem)) g, range(5) r(c)
     LEFT JOIN (SELECT l_shipdate::DATE AS d, l_suppkey % 5 AS k, avg(l_quantity::DOUBLE) / 20 AS kv FROM lineitem GROUP BY 1, 2) m ON m.d = a + f::INT AND m.k = c""")

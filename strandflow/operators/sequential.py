@@ -36,22 +36,6 @@ def peaks(candidates: DataFrame, least_distance: int = 50) -> DataFrame:
     return candidates.groupBy("run_id").applyInPandas(run, "run_id string, frame int, strength double")
 
 
-def periodicity(series: DataFrame, distance: int = 5) -> DataFrame:
-    """(run_id, frequency, amplitude) of spectral peaks above median + 3 MAD of the amplitudes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("frame")["v"].to_numpy()
-        amplitude = np.abs(np.fft.rfft(v - v.mean()))
-        mid = np.median(amplitude)
-        line = mid + 3 * np.median(np.abs(amplitude - mid))
-        inner = np.flatnonzero((amplitude[1:-1] > amplitude[:-2]) & (amplitude[1:-1] > amplitude[2:])) + 1
-        inner = inner[amplitude[inner] > line]
-        inner = inner[pick_peaks(inner, amplitude[inner], distance)] if len(inner) else inner
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "frequency": inner.astype("int32"), "amplitude": amplitude[inner]})
-
-    return series.groupBy("run_id").applyInPandas(run, "run_id string, frequency int, amplitude double")
-
-
 def greedy_clusters(points: DataFrame, least: int = 12, most: int = 14) -> DataFrame:
     """(run_id, atom_id, group_id) of one frame's points (run_id, atom_id, x, y, z): each cluster grows from the first free atom to its nearest ones; a last cluster below `least` joins the nearest centres."""
 

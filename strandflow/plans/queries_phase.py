@@ -10,6 +10,7 @@ from strandflow.operators import ordered as o
 from strandflow.operators import phase as p
 from strandflow.operators import sequential as q
 from strandflow.operators import series as s
+from strandflow.operators import spectrum
 from strandflow.plans import queries_core as c
 from strandflow.plans import queries_detect as d
 from strandflow.plans import queries_network as n
@@ -84,7 +85,7 @@ def bnd1_box_fractal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext1_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.periodicity(HOURLY.read(spark, sf_dir))
+    return spectrum.periodicity(HOURLY.read(spark, sf_dir)).withColumn("amplitude", F.round("amplitude", 4))
 
 
 def prj10_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,3 +115,11 @@ WITH s AS (SELECT run_id, frame, v FROM ({d.RHO.statement()}) UNION ALL SELECT r
 w AS (SELECT run_id, frame, list(v) OVER (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS x FROM s),
 b AS (SELECT *, list_min(x) AS lo, list_max(x) - list_min(x) AS span, list_transform(range(2, 11), lambda k: 1 + len(list_filter(range(2, len(x) + 1), lambda t: floor((x[t] - list_min(x)) / ((list_max(x) - list_min(x)) / k) + 1e-9) <> floor((x[t - 1] - list_min(x)) / ((list_max(x) - list_min(x)) / k) + 1e-9)))) AS n FROM w)
 SELECT run_id, frame, CASE WHEN span < 1e-10 THEN 1.0 ELSE round(greatest(1, least(3, -list_sum(list_transform(n, lambda c: ln(c))) / list_sum(list_transform(range(2, 11), lambda k: ln(span / k))))), 5) END AS fd FROM b"""
+ORACLES["ext1_periodicity"] = f"""
+WITH s AS MATERIALIZED (SELECT run_id, frame, v - avg(v) OVER (PARTITION BY run_id) AS v, count(*) OVER (PARTITION BY run_id) AS n FROM ({HOURLY.sql})),
+a AS MATERIALIZED (SELECT run_id, k, sqrt(power(sum(v * cos(2 * pi() * k * frame / n)), 2) + power(sum(v * sin(2 * pi() * k * frame / n)), 2)) AS amp FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM s) GROUP BY ALL),
+m AS (SELECT run_id, median(amp) AS mid FROM a GROUP BY run_id),
+l AS (SELECT run_id, any_value(mid) + 3 * median(abs(amp - mid)) AS line FROM a JOIN m USING (run_id) GROUP BY run_id),
+p AS (SELECT run_id, k, amp FROM (SELECT *, lag(amp) OVER w AS b, lead(amp) OVER w AS c FROM a WINDOW w AS (PARTITION BY run_id ORDER BY k)) JOIN l USING (run_id) WHERE amp > line AND amp > b AND amp > c)
+SELECT run_id, unnest(kept).k::INT AS frequency, round(unnest(kept).amp, 4) AS amplitude FROM (SELECT run_id, list_reduce(list_prepend(CAST([] AS STRUCT(k BIGINT, amp DOUBLE)[]), list([{{'k': k::BIGINT, 'amp': amp}}] ORDER BY amp DESC, k)),
+  lambda x, y: CASE WHEN len(list_filter(x, lambda z: abs(z.k - y[1].k) < 5)) > 0 THEN x ELSE list_concat(x, y) END) AS kept FROM p GROUP BY run_id)"""

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strandflow.operators import detect, features, flow, network, sequential, series
+from strandflow.operators import detect, features, flow, network, sequential, series, spectrum
 from strandflow.plans.op import Plan, Source
 from strandflow.sources import files
 
@@ -168,7 +168,7 @@ def test_peaks_keep_their_distance(spark):
 
 
 def test_spectrum_finds_a_sine(spark):
-    got = sequential.periodicity(frame(spark, np.sin(2 * np.pi * 12 * np.arange(600) / 600) + 0.01 * np.random.default_rng(5).normal(size=600))).toPandas()
+    got = spectrum.periodicity(frame(spark, np.sin(2 * np.pi * 12 * np.arange(600) / 600) + 0.01 * np.random.default_rng(5).normal(size=600))).toPandas()
     assert 12 in got.sort_values("amplitude")["frequency"].tolist()[-1:]
 
 

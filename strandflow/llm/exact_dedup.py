@@ -7,7 +7,8 @@ A shard keeps a cuckoo filter in memory (two bytes a live digest, besides 16 byt
 and no rows. A digest that the filter does not hold is new: it is inserted and becomes content. A digest that it may hold is a
 hit, and hits are verified against the content by a join on the digest, which both sides are dealt by; a hit without content
 was a collision of fingerprints and is content of its own. A filter that overflows is built anew at twice the size from the
-stored keys. Digests can be taken out of the index again: `retire` deletes those that the filter may hold, verified likewise.
+stored keys. Digests can be taken out of the index again: `retire` verifies them
+likewise and then deletes them from the filter, and a later resize leaves them out.
 
 Defined results: null counts as empty text, and all empty texts are equal; of equal texts the row with the most code
 points stays, then the smallest doc_id (null last), and of repeated rows that tie in both the first one; an empty table
@@ -88,6 +89,7 @@ class DigestFilter:
 
     def __init__(self, capacity: int = 1024):
         self.filter, self.keys, self.resizes = CuckooFilter(capacity), bytearray(), 0
+        self.gone: dict[bytes, int] = {}
 
     def __contains__(self, key: bytes) -> bool:
         return key in self.filter
@@ -97,9 +99,27 @@ class DigestFilter:
         if not self.filter.insert(key):
             self._resize()
 
+    def delete(self, key: bytes) -> bool:
+        """Takes out a key that is known to be live; the next resize leaves it out, too."""
+        held = self.filter.delete(key)
+        if held:
+            self.gone[key[: self.KEY]] = self.gone.get(key[: self.KEY], 0) + 1
+        return held
+
+    def _live(self) -> bytes:
+        out = bytearray()
+        for at in range(0, len(self.keys), self.KEY):
+            key = bytes(self.keys[at : at + self.KEY])
+            if self.gone.get(key):
+                self.gone[key] -= 1
+            else:
+                out += key
+        return bytes(out)
+
     def _resize(self) -> None:
         room = 2 * self.filter.table.size
-        view = bytes(self.keys)
+        view = self._live() if self.gone else bytes(self.keys)
+        self.keys, self.gone = bytearray(view), {}
         while True:
             self.filter, self.resizes = CuckooFilter(room), self.resizes + 1
             if all(self.filter.insert(view[at : at + self.KEY]) for at in range(0, len(view), self.KEY)):
@@ -120,14 +140,14 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, gone) of one shard, the live ones first: the digests to take out that the filter holds. Each leaves it as it goes."""
+    """Rows (digest, gone) of one shard, the live ones first, of which all that go are known to be live: each leaves the filter as it goes."""
     index = DigestFilter()
     for b in batches:
         out = []
         for digest, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if not gone:
                 index.put(digest)
-            elif index.filter.delete(digest):
+            elif index.delete(digest):
                 out.append(digest)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["digest"])
 
@@ -157,10 +177,14 @@ def live_digests(rows: DataFrame) -> DataFrame:
 
 
 def retire(live: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of live (digest, ...) whose digest is not in gone (digest)."""
-    rows = live.select("digest", F.lit(False).alias("gone")).unionByName(gone.select("digest").distinct().withColumn("gone", F.lit(True)))
+    """The rows of live (digest, ...) whose digest is not in gone (digest).
+
+    A filter may only delete keys that it holds, or it would take another key's mark: what goes is verified against the content first."""
+    content = live.select("digest").distinct()
+    known = gone.select("digest").distinct().join(content, "digest", "left_semi")
+    rows = content.withColumn("gone", F.lit(False)).unionByName(known.withColumn("gone", F.lit(True)))
     leaving = rows.repartition(F.col("digest")).sortWithinPartitions("gone").mapInArrow(_leaving, "digest binary")
-    return live.join(leaving.distinct(), "digest", "left_anti")
+    return live.join(leaving, "digest", "left_anti")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

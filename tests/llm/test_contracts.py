@@ -187,6 +187,28 @@ def test_cuckoo_filter_inserts_deletes_and_grows(spark):
     assert sorted(r.n for r in exact_dedup.retire(live, gone).collect()) == list(range(100, 300))
 
 
+def test_a_digest_that_was_never_live_takes_no_mark_of_another(spark):
+    """Ten digests of one fingerprint and bucket, one of them live: it goes, whatever the order."""
+    alike = [bytes([k]) * 8 + b"same" * 6 for k in range(10)]
+    live = spark.createDataFrame([(alike[4], 1), (b"x" * 32, 2)], "digest binary, n int")
+    assert [r.n for r in exact_dedup.retire(live, spark.createDataFrame([(k,) for k in alike], "digest binary")).collect()] == [2]
+    assert [r.n for r in exact_dedup.retire(live, spark.createDataFrame([(k,) for k in alike if k != alike[4]], "digest binary")).orderBy("n").collect()] == [1, 2]
+    pair = spark.createDataFrame([(alike[0], 1), (alike[1], 2), (alike[1], 3)], "digest binary, n int")
+    assert [r.n for r in exact_dedup.retire(pair, spark.createDataFrame([(alike[0],)], "digest binary")).orderBy("n").collect()] == [2, 3]
+
+
+def test_deleted_keys_stay_away_after_a_resize():
+    index = exact_dedup.DigestFilter(8)
+    keys = [hashlib.sha256(str(k).encode()).digest() for k in range(400)]
+    for k in keys[:5]:
+        index.put(k)
+    assert all(index.delete(k) for k in keys[:3])
+    for k in keys[5:]:
+        index.put(k)
+    assert index.resizes and all(k in index for k in keys[3:]) and len(index.keys) == 16 * 397
+    assert not any(k in index for k in keys[:3])
+
+
 def test_colliding_fingerprints_are_content_of_their_own(spark, monkeypatch):
     """Every digest is a hit after the first one of its shard: groups are the same."""
     rows = [(i, f"text {i % 7}", None, None) for i in range(40)]

@@ -17,10 +17,11 @@ ALL = Plan(n.ALL_PAIRS, {"series": SERIES})
 PROFILE = Plan(n.LAG_PROFILE, {"series": SERIES, "pairs": PAIRS})
 LINKS = Plan(n.CAUSAL_LINKS, {"profile": PROFILE, "pairs": PAIRS})
 TOP = Plan(n.TOP_CAUSAL, {"links": LINKS})
-SYNC = Plan(n.SYNC_LINKS, {"profile": PROFILE, "pairs": PAIRS})
+SYNC = Plan(n.SYNC_LINKS, {"profile": PROFILE, "pairs": PAIRS}, {"least": 0.05})
 INSIDE = Plan(n.EVENT_SERIES, {"events": d.EVENTS, "series": SERIES})
 MODE = Plan(n.NETWORK_MODE, {"inside": INSIDE})
-INSTANT = Plan(n.INSTANT_LINKS, {"inside": INSIDE, "events": d.EVENTS, "distances": c.RES_D})
+#: Seven groups cannot differ by two deviations often: the line is drawn at one.
+INSTANT = Plan(n.INSTANT_LINKS, {"inside": INSIDE, "events": d.EVENTS, "distances": c.RES_D}, {"sigmas": 1.0})
 TRANSITION = Plan(n.TRANSITION_LINKS, {"inside": INSIDE, "pairs": PAIRS})
 ECAUSE = Plan(n.EVENT_CAUSALITY, {"series": SERIES})
 BEST = Plan(n.BEST_LAG, {"profile": ECAUSE})

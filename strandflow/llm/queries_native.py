@@ -20,10 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url by the rules, else by its host's reputation; a page is bad if its document is toxic or of low quality."""
+    """Every page's url by the rules, else by its host's reputation, with its host's labels, mean and bound; a page is bad if its document is toxic or of low quality."""
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), labels, RULES).drop("bound")
+    return filter_urls(table(spark, sf_dir, "pages"), labels, RULES)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,15 +66,15 @@ m AS (SELECT coalesce(max(CASE WHEN lev = 's' THEN (1 - rho) / rho END), 9999.0)
 p0 AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(n), 0), 0) AS p0 FROM s),
 s2 AS (SELECT suffix, (bad + ms * p0) / (n + ms) AS ps FROM s, m, p0),
 d2 AS (SELECT domain, suffix, (bad + md * ps) / (n + md) AS pd FROM d JOIN s2 USING (suffix), m),
-h2 AS (SELECT host, n, mh, (bad + mh * pd) / (n + mh) AS mean FROM h JOIN d2 USING (domain, suffix), m),
-rep AS (SELECT host, round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + mh + 1)), 9) > 0.5 AS bad_host FROM h2),
+h2 AS (SELECT host, n, bad, mh, (bad + mh * pd) / (n + mh) AS mean FROM h JOIN d2 USING (domain, suffix), m),
+rep AS (SELECT host, n AS labelled, bad, mean, mean - 1.645 * sqrt(mean * (1 - mean) / (n + mh + 1)) AS bound, round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + mh + 1)), 9) > 0.5 AS bad_host FROM h2),
 ruled AS (SELECT page_id, host, path,
     CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
-SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad_host THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad_host THEN 'block' ELSE 'allow' END AS verdict, labelled, bad, round(mean, 6) AS mean, round(bound, 6) AS bound
 FROM ruled JOIN rep ON ruled.host = rep.host
 """
 

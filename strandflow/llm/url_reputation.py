@@ -86,7 +86,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, limit: float = 0.5, z
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], limit: float = 0.5, z: float = 1.645) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bound) for every page; labels: (page_id, bad 0/1).
+    """(page_id, host, path, rule, verdict, labelled, bad, mean, bound) for every page, the last four its host's; labels: (page_id, bad 0/1).
 
     Only page_id and url are read. The join with the hosts' table may meet a hot host: adaptive execution
     splits its pages, since only the small side needs all of a key.
@@ -94,7 +94,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     host, path = url_parts(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     outcomes = p.select("page_id", "host").join(labels.select("page_id", "bad").where("bad is not null"), "page_id").select("host", "bad")
-    rep = host_reputation(outcomes, p, limit, z).select("host", "bound", "bad_host")
+    rep = host_reputation(outcomes, p, limit, z).select("host", F.col("n").alias("labelled"), "bad", "mean", "bound", "bad_host")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_host"), "block").otherwise("allow")
-    return p.join(rep, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.round("bound", 6).alias("bound"))
+    return p.join(rep, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "labelled", "bad", F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))

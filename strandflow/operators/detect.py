@@ -93,9 +93,19 @@ FINAL_SCORE = Op("final_score", """SELECT g.run_id, g.frame, g.score AS global_,
 CRITICAL_EVENTS = Op("critical_events", """SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY min(frame)) - 1 AS INT) AS event_id, min(frame) AS start_frame, max(frame) AS end_frame, max(v) AS score FROM (
     SELECT s.run_id, s.frame, s.v, s.frame - row_number() OVER (PARTITION BY s.run_id ORDER BY s.frame) AS island FROM {series} s
     JOIN (SELECT run_id, avg(v) + <sigmas> * stddev_pop(v) AS t FROM {series} GROUP BY run_id) c ON c.run_id = s.run_id WHERE s.v > c.t) x GROUP BY run_id, island""", {"sigmas": 2.0}, doc="gaps and islands over frames above mean + sigmas x std")
-RANKED_EVENTS = Op("ranked_events", """SELECT run_id, event_id, start_frame, end_frame, score, rank, 'event_' || CAST(rank AS STRING_) AS name FROM (
-    SELECT e.run_id, e.event_id, e.start_frame, e.end_frame, max(s.v) AS score, row_number() OVER (ORDER BY max(s.v) DESC, e.run_id, e.event_id) AS rank FROM {events} e
-    JOIN {series} s ON s.run_id = e.run_id AND s.frame BETWEEN e.start_frame AND e.end_frame GROUP BY e.run_id, e.event_id, e.start_frame, e.end_frame) r WHERE rank <= <top>""".replace("CAST(rank AS STRING_)", "CAST(rank AS VARCHAR(10))"), {"top": 50})
+RANKED_EVENTS = Op(
+    "ranked_events",
+    """
+    SELECT run_id, event_id, start_frame, end_frame, score, rank, 'event_' || CAST(rank AS VARCHAR(10)) AS name
+    FROM (
+        SELECT t.*, row_number() OVER (ORDER BY score DESC, run_id, event_id) AS rank
+        FROM (
+            SELECT e.run_id, e.event_id, e.start_frame, e.end_frame, max(s.v) AS score
+            FROM (SELECT run_id, event_id, start_frame, end_frame, RANGE(start_frame, end_frame)RANGE AS frame FROM {events}) e JOIN {series} s ON s.run_id = e.run_id AND s.frame = e.frame
+            GROUP BY e.run_id, e.event_id, e.start_frame, e.end_frame ORDER BY score DESC, run_id, event_id LIMIT <top>) t) r""",
+    {"top": 50},
+    doc="the window numbers the top alone",
+)
 DAMAGE_BLEND = Op("damage_blend", "SELECT s.run_id, s.frame, (1 - <weight>) * s.v + <weight> * coalesce(d.damage, 0) AS v FROM {series} s LEFT JOIN {damage} d ON d.frame = s.frame", {"weight": 0.25})
 ROBUST_SCORE = Op("robust_score", """SELECT a.frame, CASE WHEN m.mad_a > 1E-10 THEN 0.6745E0 * (a.rg - m.med_a) / m.mad_a ELSE 0 END AS z FROM {rg} a CROSS JOIN
     (SELECT max(c.med) AS med_a, PCT(abs(g.rg - c.med), 0.5) AS mad_a FROM {rg} g CROSS JOIN (SELECT PCT(rg, 0.5) AS med FROM {rg}) c) m""")

@@ -12,12 +12,12 @@ ATOM_LINKS = Op("atom_links", "SELECT a.frame, a.atom_id AS from_id, b.atom_id A
 ATOM_LAG_LINKS = Op("atom_lag_links", "SELECT x.atom_id AS from_id, y.atom_id AS to_id, CASE WHEN stddev_pop(x.step) > 1E-10 AND stddev_pop(y.step) > 1E-10 THEN covar_pop(x.step, y.step) / (stddev_pop(x.step) * stddev_pop(y.step)) ELSE 0 END AS corr FROM {z} x JOIN {z} y ON y.frame = x.frame + <lag> AND y.atom_id <> x.atom_id GROUP BY x.atom_id, y.atom_id", {"lag": 1})
 ATOM_PATTERN = Op("atom_pattern", "SELECT frame, CASE WHEN count(*) > 10 THEN 'collective' WHEN count(*) > 2 THEN 'clustered' ELSE 'isolated' END AS pattern, count(*) AS n FROM {origins} GROUP BY frame")
 ATOM_DEGREES = Op("atom_degrees", "SELECT o.frame, o.atom_id, o.z, count(l.from_id) AS degree, count(l.from_id) > 1 AS hub FROM {origins} o LEFT JOIN {links} l ON l.frame = o.frame AND (l.from_id = o.atom_id OR l.to_id = o.atom_id) GROUP BY o.frame, o.atom_id, o.z")
-TARGETS = Op("targets", "SELECT atom_id, priority, score, place FROM (SELECT atom_id, priority, score, row_number() OVER (ORDER BY priority, round(score, 9) DESC, atom_id) AS place FROM (SELECT atom_id, min(CASE WHEN hub THEN 1 WHEN z > 3 THEN 2 ELSE 3 END) AS priority, max(z) AS score FROM {degrees} GROUP BY atom_id) t) p WHERE place <= 7")
+TARGETS = Op("targets", "SELECT atom_id, priority, score, row_number() OVER (ORDER BY priority, round(score, 9) DESC, atom_id) AS place FROM (SELECT atom_id, min(CASE WHEN hub THEN 1 WHEN z > 3 THEN 2 ELSE 3 END) AS priority, max(z) AS score FROM {degrees} GROUP BY atom_id ORDER BY priority, round(score, 9) DESC, atom_id LIMIT 7) t")
 DEFECT_EVENTS = Op("defect_events", "SELECT frame, atom_id, CASE WHEN z > 4 THEN 'vacancy' WHEN z > 3 THEN 'interstitial' ELSE 'displacement' END AS kind FROM {z} WHERE z > <sigmas>", {"sigmas": 2.5})
 PLASTIC_ZONE = Op("plastic_zone", "SELECT o.frame, sqrt(max(power(t.x - c.x, 2) + power(t.y - c.y, 2) + power(t.z - c.z, 2))) AS radius, count(*) AS n FROM {origins} o JOIN {traj} t ON t.frame = o.frame AND t.atom_id = o.atom_id JOIN {centre} c ON c.frame = o.frame GROUP BY o.frame")
 OWNERS = Op("owners", "SELECT a.atom_id, coalesce(min(m.group_id), -1) AS group_id FROM {atoms} a LEFT JOIN {member} m ON m.atom_id = a.atom_id AND m.group_id > 0 GROUP BY a.atom_id")
 DISPATCH = Op("dispatch", "SELECT run_id, event_id, CASE WHEN end_frame = start_frame THEN 'instantaneous' ELSE 'temporal' END AS form FROM {events}")
-DEFECT_CLASSES = Op("defect_classes", "SELECT atom_id, path_length, CASE WHEN path_length > 1.1E0 * m THEN 'mobile' WHEN path_length > 0.95E0 * m THEN 'normal' ELSE 'pinned' END AS class FROM (SELECT atom_id, path_length, avg(path_length) OVER () AS m FROM (SELECT atom_id, sum(step) AS path_length FROM {z} GROUP BY atom_id) p) q")
+DEFECT_CLASSES = Op("defect_classes", "SELECT p.atom_id, p.path_length, CASE WHEN p.path_length > 1.1E0 * a.m THEN 'mobile' WHEN p.path_length > 0.95E0 * a.m THEN 'normal' ELSE 'pinned' END AS class FROM (SELECT atom_id, sum(step) AS path_length FROM {z} GROUP BY atom_id) p CROSS JOIN (SELECT sum(step) / count(DISTINCT atom_id) AS m FROM {z}) a")
 
 PATTERNS = Op("patterns", "SELECT e.run_id, e.event_id, e.start_frame, e.end_frame, CASE WHEN n.n > 0 THEN 'cascade' WHEN e.end_frame - e.start_frame + 1 <= 1 THEN 'instantaneous' ELSE 'transition' END AS pattern, n.n AS n_bonds FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {links} WHERE asynchronous AND strength > <least>) n", {"least": 0.12})
 EVENT_ANOMALY = Op("event_anomaly", "SELECT p.run_id, p.event_id, p.pattern, p.n_bonds, p.end_frame - p.start_frame + 1 AS duration, abs(f.lf_mag - f.prev) AS jump, CASE WHEN s.sd > 1E-10 THEN abs(f.lf_mag - s.m) / s.sd ELSE 0 END AS z, t.rho_t, y.sigma_s FROM {patterns} p JOIN (SELECT run_id, frame, lf_mag, lag(lf_mag, 1, lf_mag) OVER (PARTITION BY run_id ORDER BY frame) AS prev FROM {flow}) f ON f.run_id = p.run_id AND f.frame = p.start_frame JOIN (SELECT run_id, avg(lf_mag) AS m, stddev_pop(lf_mag) AS sd FROM {flow} GROUP BY run_id) s ON s.run_id = p.run_id JOIN {tension} t ON t.run_id = p.run_id AND t.frame = p.start_frame JOIN {synchrony} y ON y.run_id = p.run_id AND y.frame = p.start_frame")
@@ -29,7 +29,7 @@ SIGNATURES = Op("signatures", """SELECT run_id, event_id, pattern, spatial, sync
     CASE pattern WHEN 'instantaneous' THEN CASE WHEN spatial > 0.3E0 AND sync > 0.3E0 THEN 'phase_transition' WHEN spatial > 0.3E0 THEN 'tunneling' WHEN sync > 0.3E0 THEN 'entanglement' ELSE 'none' END
       WHEN 'transition' THEN CASE WHEN temporal > 0.3E0 AND spatial > 0.3E0 THEN 'tunneling' WHEN sync > 0.3E0 AND temporal > 0.3E0 THEN 'coherence' WHEN spatial > 0.3E0 AND sync > 0.3E0 THEN 'phase_transition' ELSE 'none' END
       ELSE CASE WHEN sync > 0.3E0 THEN 'information_transfer' WHEN spatial > 0.3E0 AND temporal > 0.3E0 THEN 'phase_transition' ELSE 'none' END END AS signature FROM {axes}""")
-CASCADE_INFO = Op("cascade_info", "SELECT from_id, to_id, strength, lag, place, 2 + 0.8E0 * max(strength) OVER () AS index_ FROM (SELECT *, row_number() OVER (ORDER BY round(strength, 9) DESC, from_id, to_id) AS place FROM {links} WHERE asynchronous) l WHERE place <= 5")
+CASCADE_INFO = Op("cascade_info", "SELECT from_id, to_id, strength, lag, row_number() OVER (ORDER BY round(strength, 9) DESC, from_id, to_id) AS place, 2 + 0.8E0 * max(strength) OVER () AS index_ FROM (SELECT * FROM {links} WHERE asynchronous ORDER BY round(strength, 9) DESC, from_id, to_id LIMIT 5) l")
 SUMMARY = Op("summary", "SELECT pattern, signature, count(*) AS n, avg(confidence) AS confidence FROM {signatures} GROUP BY pattern, signature")
 IMPORTANCE = Op("importance", "SELECT g, score, place FROM (SELECT run_id AS g, sum(peak * 1.1E0) AS score, row_number() OVER (ORDER BY round(sum(peak * 1.1E0), 9) DESC, run_id) AS place FROM (SELECT s.run_id, e.event_id, max(s.v) AS peak FROM {series} s JOIN {events} e ON s.frame BETWEEN e.start_frame AND e.end_frame GROUP BY s.run_id, e.event_id) p GROUP BY run_id) i WHERE place <= 10")
 CDR = Op("cdr", "SELECT group_id, 0.2E0 * rg AS contribution, greatest(0.0E0, least(1.0E0, 0.3E0 * rg + 0.3E0 * density)) AS affinity FROM {stats}")

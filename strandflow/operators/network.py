@@ -140,7 +140,7 @@ EVENT_STATS = Op(
     GROUP BY m.event_id, m.n, m.mode""",
     doc="the networks of all events, one row each",
 )
-INITIATORS = Op("initiators", "SELECT run_id AS g, first_frame, place FROM (SELECT run_id, first_frame, row_number() OVER (ORDER BY first_frame, run_id) AS place FROM (SELECT run_id, min(frame) AS first_frame FROM {series} WHERE v > <level> GROUP BY run_id) f) p WHERE place <= 5", {"level": 2.0})
+INITIATORS = Op("initiators", "SELECT run_id AS g, first_frame, row_number() OVER (ORDER BY first_frame, run_id) AS place FROM (SELECT run_id, min(frame) AS first_frame FROM {series} WHERE v > <level> GROUP BY run_id ORDER BY first_frame, run_id LIMIT 5) f", {"level": 2.0})
 DEGREES = Op("degrees", """SELECT g, sum(o) AS out_degree, sum(i) AS in_degree, sum(o) + sum(i) AS degree, CASE WHEN sum(o) > 2 * sum(i) THEN 'driver' WHEN sum(i) > 2 * sum(o) THEN 'responder' ELSE 'mediator' END AS role
     FROM (SELECT from_id AS g, 1 AS o, 0 AS i FROM {links} UNION ALL SELECT to_id, 0, 1 FROM {links}) d GROUP BY g""")
 NETWORK_STATS = Op(

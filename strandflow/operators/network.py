@@ -5,7 +5,8 @@ Lag joins keep the series narrow: (group, frame, v) joined on shifted frames, on
 
 from __future__ import annotations
 
-from strandflow.plans.op import Op
+from strandflow.operators import resample
+from strandflow.plans.op import Function, Op
 
 _CORR = "CASE WHEN stddev_pop(a) > 1E-10 AND stddev_pop(b) > 1E-10 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) ELSE 0 END"
 
@@ -183,27 +184,7 @@ _DRAWS = f"""draws AS (
         JOIN {_FRAMES} ON f.place_ = d.pick)"""
 _RES = {"seed": 42, "reps": 1000}
 
-BOOTSTRAP_CORRELATION = Op(
-    "bootstrap_correlation",
-    f"""
-    WITH {_DRAWS},
-    one AS (
-        SELECT rep, run_id, sum(times) AS w, sum(times * v) AS s, sum(times * v * v) AS ss
-        FROM (SELECT rep, frame, times FROM draws UNION ALL SELECT 0, frame, 1 FROM (SELECT DISTINCT frame FROM {{series}}) f) d JOIN {{series}} USING (frame) GROUP BY rep, run_id),
-    two AS (
-        SELECT d.rep, x.run_id AS i, y.run_id AS j, sum(d.times * x.v * y.v) AS xy
-        FROM (SELECT rep, frame, times FROM draws UNION ALL SELECT 0, frame, 1 FROM (SELECT DISTINCT frame FROM {{series}}) f) d
-        JOIN {{series}} x ON x.frame = d.frame JOIN {{series}} y ON y.frame = d.frame AND x.run_id < y.run_id GROUP BY d.rep, x.run_id, y.run_id),
-    corr AS (
-        SELECT t.rep, t.i, t.j, CASE WHEN a.ss / a.w - power(a.s / a.w, 2) > 1E-20 AND b.ss / b.w - power(b.s / b.w, 2) > 1E-20
-            THEN (t.xy / a.w - a.s / a.w * b.s / b.w) / sqrt((a.ss / a.w - power(a.s / a.w, 2)) * (b.ss / b.w - power(b.s / b.w, 2))) END AS c
-        FROM two t JOIN one a ON a.rep = t.rep AND a.run_id = t.i JOIN one b ON b.rep = t.rep AND b.run_id = t.j)
-    SELECT i, j, max(CASE WHEN rep = 0 THEN c END) AS estimate, PCT(CASE WHEN rep > 0 THEN c END, 0.025) AS lo, PCT(CASE WHEN rep > 0 THEN c END, 0.975) AS hi,
-        avg(CASE WHEN rep > 0 THEN c END) - max(CASE WHEN rep = 0 THEN c END) AS bias, stddev_pop(CASE WHEN rep > 0 THEN c END) AS se
-    FROM corr GROUP BY i, j""",
-    _RES,
-    doc="percentile interval of resampled frames; a frame drawn k times counts k-fold, so pairs are summed once a distinct frame",
-)
+BOOTSTRAP_CORRELATION = Function("bootstrap_correlation", resample.PLAIN, _RES, run=resample.bootstrap_correlation, doc="percentile interval over frames with Poisson weights, by weight vectors")
 BOOTSTRAP_STATISTICS = Op(
     "bootstrap_statistics",
     f"""

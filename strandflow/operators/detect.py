@@ -107,8 +107,8 @@ RANKED_EVENTS = Op(
     doc="the window numbers the top alone",
 )
 DAMAGE_BLEND = Op("damage_blend", "SELECT s.run_id, s.frame, (1 - <weight>) * s.v + <weight> * coalesce(d.damage, 0) AS v FROM {series} s LEFT JOIN {damage} d ON d.frame = s.frame", {"weight": 0.25})
-ROBUST_SCORE = Op("robust_score", """SELECT a.frame, CASE WHEN m.mad_a > 1E-10 THEN 0.6745E0 * (a.rg - m.med_a) / m.mad_a ELSE 0 END AS z FROM {rg} a CROSS JOIN
-    (SELECT max(c.med) AS med_a, PCT(abs(g.rg - c.med), 0.5) AS mad_a FROM {rg} g CROSS JOIN (SELECT PCT(rg, 0.5) AS med FROM {rg}) c) m""")
+DEVIATION = Op("deviation", "SELECT s.run_id, s.frame, abs(s.v - m.med) AS v FROM {series} s JOIN {median} m ON m.run_id = s.run_id")
+ROBUST_SCORE = Op("robust_score", "SELECT s.run_id, s.frame, CASE WHEN d.med > 1E-10 THEN 0.6745E0 * (s.v - m.med) / d.med ELSE 0 END AS z FROM {series} s JOIN {median} m ON m.run_id = s.run_id JOIN {spread} d ON d.run_id = s.run_id", doc="by a run's median and the median of its deviations from it")
 GROUP_ANOMALY = Op("group_anomaly", "SELECT f.run_id, f.frame, (f.z + r.z) / 2 AS v FROM {flow_z} f JOIN {tension_z} r ON r.run_id = f.run_id AND r.frame = f.frame")
 CLUSTER_ANOMALY = Op("cluster_anomaly", """SELECT group_id, frame, a FROM (SELECT c.group_id, c.frame, (CASE WHEN sd > 1E-10 THEN abs(c.strain - m) / sd ELSE 0 END + abs(c.coord - <ideal>) / <ideal>) / 2 AS a, max((CASE WHEN sd > 1E-10 THEN abs(c.strain - m) / sd ELSE 0 END + abs(c.coord - <ideal>) / <ideal>) / 2) OVER (PARTITION BY c.group_id) AS most
     FROM {cluster} c JOIN (SELECT group_id, avg(strain) AS m, stddev_pop(strain) AS sd FROM {cluster} GROUP BY group_id) s ON s.group_id = c.group_id) x WHERE most > <sensitivity>""", {"ideal": 8.0, "sensitivity": 1.5})

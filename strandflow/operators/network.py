@@ -162,14 +162,14 @@ EVENT_CAUSALITY = Op("event_causality", """SELECT x.run_id AS i, y.run_id AS j,
     JOIN {series} y ON y.frame = x.frame + l.lag AND y.run_id <> x.run_id WHERE x.v > <level> GROUP BY x.run_id, y.run_id, l.lag""", {"level": 1.0, "lags": 10})
 BEST_LAG = Op("best_lag", "SELECT i, j, lag, p FROM (SELECT i, j, lag, p, row_number() OVER (PARTITION BY i, j ORDER BY round(p, 9) DESC, lag) AS r FROM {profile}) b WHERE r = 1 AND p >= <least>", {"least": 0.0})
 TRANSFER_ENTROPY = Op("transfer_entropy", """WITH bins AS (SELECT s.run_id, s.frame, CASE WHEN s.v <= e.q1 THEN 0 WHEN s.v <= e.q2 THEN 1 WHEN s.v <= e.q3 THEN 2 ELSE 3 END AS b FROM {series} s
-      JOIN (SELECT run_id, PCT(v, 0.25) AS q1, PCT(v, 0.5) AS q2, PCT(v, 0.75) AS q3 FROM {series} GROUP BY run_id) e ON e.run_id = s.run_id),
-    steps AS (SELECT run_id, frame, b, lead(b) OVER (PARTITION BY run_id ORDER BY frame) AS nxt FROM bins),
-    joint AS (SELECT x.run_id AS i, y.run_id AS j, y.nxt, y.b AS yb, x.b AS xb, count(*) AS n FROM steps y JOIN bins x ON x.frame = y.frame - <lag> + 1 AND x.run_id <> y.run_id WHERE y.nxt IS NOT NULL GROUP BY x.run_id, y.run_id, y.nxt, y.b, x.b),
+      JOIN {quartiles} e ON e.run_id = s.run_id),
+    steps AS (SELECT s.run_id, s.frame, s.b, t.b AS nxt FROM bins s JOIN bins t ON t.run_id = s.run_id AND t.frame = s.frame + 1),
+    joint AS (SELECT x.run_id AS i, y.run_id AS j, y.nxt, y.b AS yb, x.b AS xb, count(*) AS n FROM steps y JOIN bins x ON x.frame = y.frame - <lag> + 1 AND x.run_id <> y.run_id GROUP BY x.run_id, y.run_id, y.nxt, y.b, x.b),
     m AS (SELECT *, sum(n) OVER (PARTITION BY i, j) AS total, sum(n) OVER (PARTITION BY i, j, yb) AS n_y, sum(n) OVER (PARTITION BY i, j, yb, xb) AS n_yx, sum(n) OVER (PARTITION BY i, j, nxt, yb) AS n_ny FROM joint)
-    SELECT i, j, sum(n * 1.0E0 / total * ln(n * 1.0E0 * n_y / (n_yx * 1.0E0 * n_ny))) AS te FROM m GROUP BY i, j""", {"lag": 1}, doc="plug-in estimate on quartile bins")
+    SELECT i, j, sum(n * 1.0E0 / total * ln(n * 1.0E0 * n_y / (n_yx * 1.0E0 * n_ny))) AS te FROM m GROUP BY i, j""", {"lag": 1}, doc="plug-in estimate on quartile bins; a frame meets the next one by equality, so no task sorts a run")
 ORDERED_PAIRS = Op("ordered_pairs", "SELECT i, j, lag, p, row_number() OVER (ORDER BY round(p, 9) DESC, i, j) AS place FROM {best} WHERE p >= <least>", {"least": 0.1})
 SURROGATE_TE = Op("surrogate_te", """SELECT i, j, CASE WHEN own_err > 1E-12 AND both_err > 1E-12 THEN ln(own_err / both_err) ELSE 0 END AS te FROM (SELECT x.run_id AS i, y.run_id AS j, avg(power(y.nxt - y.v, 2)) AS own_err, avg(power(y.nxt - (y.v + x.v) / 2, 2)) AS both_err
-    FROM (SELECT run_id, frame, v, lead(v) OVER (PARTITION BY run_id ORDER BY frame) AS nxt FROM {series}) y JOIN {series} x ON x.frame = y.frame AND x.run_id <> y.run_id WHERE y.nxt IS NOT NULL GROUP BY x.run_id, y.run_id) e""")
+    FROM (SELECT s.run_id, s.frame, s.v, t.v AS nxt FROM {series} s JOIN {series} t ON t.run_id = s.run_id AND t.frame = s.frame + 1) y JOIN {series} x ON x.frame = y.frame AND x.run_id <> y.run_id GROUP BY x.run_id, y.run_id) e""")
 
 _REPS = "(SELECT RANGE(1, <reps>)RANGE AS rep) r"
 #: Frames are numbered without gaps, so a frame's place is its distance to the first one.

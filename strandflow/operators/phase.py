@@ -33,8 +33,8 @@ CORRELATION_DIMENSION = Op(
     {"radii": 30, "lo": 0.01, "hi": 10.0},
     doc="distances are counted by the least of the radii (equal steps of the logarithm) that holds them, so each is looked at once",
 )
-LYAPUNOV = Op(
-    "lyapunov",
+LYAPUNOV_RATES = Op(
+    "lyapunov_rates",
     """
     WITH pair AS (
         SELECT x.run_id, x.frame AS i, y.frame AS j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2)) AS d
@@ -42,15 +42,13 @@ LYAPUNOV = Op(
         JOIN {points} y ON y.run_id = x.run_id AND y.frame = x.to_),
     near AS (SELECT run_id, i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY run_id, i ORDER BY round(d, 12), j) AS r FROM pair) q WHERE r = 1),
     later AS (SELECT n.run_id, n.i, n.d, k.k, n.i + k.k AS ik, n.j + k.k AS jk FROM near n CROSS JOIN (SELECT RANGE(1, <steps>)RANGE AS k) k)
-    SELECT run_id, PCT(g, 0.5) AS exponent
-    FROM (
-        SELECT l.run_id, l.i, avg(ln(greatest(sqrt(power(a.a - b.a, 2) + power(a.b - b.b, 2) + power(a.c - b.c, 2)), 1E-10) / greatest(l.d, 1E-10)) / l.k) AS g
-        FROM later l JOIN {points} a ON a.run_id = l.run_id AND a.frame = l.ik JOIN {points} b ON b.run_id = l.run_id AND b.frame = l.jk
-        GROUP BY l.run_id, l.i) x
-    GROUP BY run_id""",
+    SELECT l.run_id, l.i AS frame, avg(ln(greatest(sqrt(power(a.a - b.a, 2) + power(a.b - b.b, 2) + power(a.c - b.c, 2)), 1E-10) / greatest(l.d, 1E-10)) / l.k) AS v
+    FROM later l JOIN {points} a ON a.run_id = l.run_id AND a.frame = l.ik JOIN {points} b ON b.run_id = l.run_id AND b.frame = l.jk
+    GROUP BY l.run_id, l.i""",
     {"band": 100, "apart": 5, "steps": 10},
     doc="the nearest point of a band around each point, and how the two part; the band is an equi-join on shifted frames",
 )
+LYAPUNOV = Op("lyapunov", "SELECT run_id, med AS exponent FROM {median}", light=True)
 ATTRACTOR_VOLUME = Op("attractor_volume", "SELECT run_id, count(*) / power(128.0E0, 3) AS volume, count(*) AS voxels FROM (SELECT DISTINCT p.run_id, CAST(floor(127 * (p.a - r.lo) / (r.hi - r.lo + 1E-12)) AS INT) AS x, CAST(floor(127 * (p.b - r.lo) / (r.hi - r.lo + 1E-12)) AS INT) AS y, CAST(floor(127 * (p.c - r.lo) / (r.hi - r.lo + 1E-12)) AS INT) AS z FROM {points} p JOIN (SELECT run_id, least(min(a), min(b), min(c)) AS lo, greatest(max(a), max(b), max(c)) AS hi FROM {points} GROUP BY run_id) r ON r.run_id = p.run_id) v GROUP BY run_id")
 FRACTAL_MEASURE = Op("fractal_measure", "SELECT run_id, dimension / <m> AS measure FROM {dimension}", {"m": 3.0})
 INFORMATION_DIMENSION = Op("information_dimension", """SELECT run_id, regr_slope(h, ln(k)) AS dimension FROM (SELECT run_id, k, -sum(n / total * ln(n / total)) AS h FROM (SELECT run_id, k, n, sum(n) OVER (PARTITION BY run_id, k) AS total FROM (SELECT p.run_id, k.k, CAST(floor(k.k * (p.v - r.lo) / (r.hi - r.lo + 1E-12)) AS INT) AS b, count(*) * 1.0E0 AS n

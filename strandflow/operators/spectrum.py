@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.operators.quantiles import quantiles
 from strandflow.operators.sequential import pick_peaks
 from strandflow.store import written
 
@@ -92,8 +93,10 @@ def periodicity(series: DataFrame, distance: int = 5, together: int = TOGETHER)
     centred = series.join(mean, "run_id").select("run_id", "frame", (F.col("v") - F.col("mean")).alias("v"))
     spectrum = fourier(centred, together).where("k <= n / 2").select("run_id", F.col("k").cast("int").alias("frequency"), F.hypot("re", "im").alias("amplitude"))
     spectrum = written(spectrum, "spectrum")
-    middle = spectrum.groupBy("run_id").agg(F.expr("percentile(amplitude, 0.5)").alias("mid"))
-    spread = spectrum.join(middle, "run_id").groupBy("run_id", "mid").agg(F.expr("percentile(abs(amplitude - mid), 0.5)").alias("mad")).select("run_id", (F.col("mid") + 3 * F.col("mad")).alias("line"))
+    median = lambda rows, name: quantiles(rows, ["run_id"], "amplitude", [0.5]).select("run_id", F.col("q").alias(name))
+    middle = median(spectrum, "mid")
+    off = spectrum.join(middle, "run_id").select("run_id", F.abs(F.col("amplitude") - F.col("mid")).alias("amplitude"))
+    spread = middle.join(median(off, "mad"), "run_id").select("run_id", (F.col("mid") + 3 * F.col("mad")).alias("line"))
     high = spectrum.join(spread, "run_id").where("amplitude > line").select("run_id", "frequency", "amplitude")
     near = lambda step, name: spectrum.select("run_id", (F.col("frequency") + step).alias("frequency"), F.col("amplitude").alias(name))
     peaks = high.join(near(1, "before_"), ["run_id", "frequency"]).join(near(-1, "after_"), ["run_id", "frequency"]).where("amplitude > before_ and amplitude > after_")

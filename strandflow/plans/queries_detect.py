@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandflow.operators import detect as d
 from strandflow.operators import series as s
+from strandflow.operators.quantiles import MEDIAN
 from strandflow.plans import queries_core as c
 from strandflow.plans.op import Op, Plan
 from strandflow.plans.query import Query, tables
@@ -21,6 +22,7 @@ RHO = as_series(c.TENSION, "rho_t")
 Q = as_series(c.ROTATION, "q")
 QC = as_series(c.QCUM, "q_cum")
 RG = as_series(c.RG, "rg")
+RG_MEDIAN = Plan(MEDIAN, {"series": RG})
 COH = as_series(c.COHERENCE, "coherence")
 grad = lambda p: Plan(s.GRADIENT, {"series": p})
 FD = Plan(d.FRACTAL, {"series": RHO})
@@ -86,7 +88,7 @@ QUERIES_ = {
     "ano8_critical_events": Query(EVENTS, "run_id event_id start_frame end_frame ~score"),
     "ano8_hourly_events": Query(HOURLY_EVENTS, "run_id event_id start_frame end_frame ~score"),
     "ano10_ranked_events": Query(Plan(d.RANKED_EVENTS, {"events": HOURLY_EVENTS, "series": HOURLY}), "run_id event_id start_frame end_frame ~score rank name"),
-    "ano11_robust_score": Query(Plan(d.ROBUST_SCORE, {"rg": c.RG}), "frame ~z"),
+    "ano11_robust_score": Query(Plan(d.ROBUST_SCORE, {"series": RG, "median": RG_MEDIAN, "spread": Plan(MEDIAN, {"series": Plan(d.DEVIATION, {"series": RG, "median": RG_MEDIAN})})}), "frame ~z"),
     "ano12_group_anomaly": Query(GROUP_ANOM, "run_id frame ~v"),
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandflow.operators import network as n
 from strandflow.operators import series as s
+from strandflow.operators.quantiles import QUARTILES
 from strandflow.plans import queries_core as c
 from strandflow.plans import queries_detect as d
 from strandflow.plans.op import Op, Plan
@@ -55,7 +56,7 @@ QUERIES_ = {
     "net12_paths": Query(Plan(n.PATHS, {"links": LINKS}), "path hops ~weight"),
     "net16_bridges": Query(Plan(n.BRIDGES, {"links": LINKS}), "a b n_links ~total ~strongest least_lag"),
     "cau1_event_causality": Query(BEST, "i j lag ~p"),
-    "cau2_transfer_entropy": Query(Plan(n.TRANSFER_ENTROPY, {"series": SERIES}), "i j ~te"),
+    "cau2_transfer_entropy": Query(Plan(n.TRANSFER_ENTROPY, {"series": SERIES, "quartiles": Plan(QUARTILES, {"series": SERIES})}), "i j ~te"),
     "cau2_surrogate": Query(Plan(n.SURROGATE_TE, {"series": SERIES}), "i j ~te"),
     "cau3_lag_profile": Query(Plan(n.LAG_PROFILE, {"series": SERIES, "pairs": ALL}), "i j lag ~corr n"),
     "cau4_ordered_pairs": Query(Plan(n.ORDERED_PAIRS, {"best": BEST}), "i j lag ~p place"),

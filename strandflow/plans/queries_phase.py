@@ -11,6 +11,7 @@ from strandflow.operators import phase as p
 from strandflow.operators import sequential as q
 from strandflow.operators import series as s
 from strandflow.operators import spectrum
+from strandflow.operators.quantiles import MEDIAN
 from strandflow.plans import queries_core as c
 from strandflow.plans import queries_detect as d
 from strandflow.plans import queries_network as n
@@ -31,7 +32,7 @@ SHARES = Plan(p.FALSE_SHARES, {"series": SERIES, "delays": DELAY})
 RQA = Plan(p.RQA, {"recurrence": REC, "points": POINTS})
 NEXT = Plan(p.NEIGHBOURS, {"points": POINTS})
 DYN = Plan(p.DYNAMICS, {"neighbours": NEXT})
-LYAP = Plan(p.LYAPUNOV, {"points": POINTS})
+LYAP = Plan(p.LYAPUNOV, {"median": Plan(MEDIAN, {"series": Plan(p.LYAPUNOV_RATES, {"points": POINTS})})})
 MEASURE = Plan(p.FRACTAL_MEASURE, {"dimension": CDIM})
 INFO = Plan(p.INFORMATION_DIMENSION, {"series": SERIES})
 PATH = Plan(p.TRAJECTORY_ANOMALY, {"neighbours": NEXT, "knn": KNN})

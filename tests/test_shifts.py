@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strandflow.operators import composite, events, network
+from strandflow.operators import composite, events, network, series
 
 RNG = np.random.default_rng(21)
 N = 300
@@ -55,3 +55,14 @@ def test_event_causality_against_a_loop(stored):
     got = {(r.i, r.j, r.lag): r.p for r in network.EVENT_CAUSALITY(series=stored[0]["series"]).collect()}
     want = {(str(i), str(j), lag): x[j, lag:][x[i, :-lag]].mean() for i in range(4) for j in range(4) if i != j for lag in range(1, 11)}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_gaussian_filter_joins_no_frames_and_blocks_change_nothing(stored):
+    run = stored[0]["series"].selectExpr("*", "7 AS n")
+    whole = series.GAUSSIAN_FILTER(series=run, sigma=3.0, reach=12)
+    assert all("frame" not in k for k in join_keys(whole)) and len(join_keys(whole)) == 1
+    v = stored[1]["series"]["v"].to_numpy().reshape(4, N)
+    k = np.exp(-(np.arange(-12, 13) ** 2) / 18.0)
+    want = np.stack([np.convolve(np.pad(x, 12, mode="symmetric"), k / k.sum(), mode="valid") for x in v])
+    for df in (whole, series.GAUSSIAN_FILTER(series=run, sigma=3.0, reach=12, block=40)):
+        assert np.allclose(df.toPandas().sort_values(["run_id", "frame"])["v"].to_numpy().reshape(4, N), want)

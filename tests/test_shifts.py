@@ -43,6 +43,7 @@ def join_keys(df) -> list[str]:
         (network.LAG_PROFILE, {"series": "series", "pairs": "pairs"}, "later"),
         (events.LAG_PROFILE, {"inside": "inside", "pairs": "near"}, "later"),
         (composite.TENSOR_CAUSALITY, {"strain": "strain"}, "frame"),
+        (composite.DISLOCATION_CAUSALITY, {"coordination": "coordination"}, "frame"),
     ],
 )
 def test_a_lag_is_part_of_the_join_key(stored, op, places, key):

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from strandflow.operators import composite, events, network, series
+from strandflow.plans.op import Function, Plan, Source
 
 RNG = np.random.default_rng(21)
 N = 300
@@ -40,7 +41,7 @@ def join_keys(df) -> list[str]:
     ("op", "places", "key"),
     [
         (network.EVENT_CAUSALITY, {"series": "series"}, "frame"),
-        (network.LAG_PROFILE, {"series": "series", "pairs": "pairs"}, "later"),
+        (network.LAG_PROFILE, {"series": "series", "pairs": "pairs"}, "frame"),
         (events.LAG_PROFILE, {"inside": "inside", "pairs": "near"}, "later"),
         (composite.TENSOR_CAUSALITY, {"strain": "strain"}, "frame"),
         (composite.DISLOCATION_CAUSALITY, {"coordination": "coordination"}, "frame"),
@@ -67,3 +68,21 @@ def test_gaussian_filter_joins_no_frames_and_blocks_change_nothing(stored):
     want = np.stack([np.convolve(np.pad(x, 12, mode="symmetric"), k / k.sum(), mode="valid") for x in v])
     for df in (whole, series.GAUSSIAN_FILTER(series=run, sigma=3.0, reach=12, block=40)):
         assert np.allclose(df.toPandas().sort_values(["run_id", "frame"])["v"].to_numpy().reshape(4, N), want)
+
+
+def test_lag_profile_against_a_loop_and_in_blocks(stored):
+    x = stored[1]["series"]["v"].to_numpy().reshape(4, N)
+    ways = [(int(i), int(j)) for a, b in zip(stored[1]["pairs"]["i"], stored[1]["pairs"]["j"], strict=True) for i, j in ((a, b), (b, a))]
+    want = {(str(i), str(j), lag): (np.corrcoef(x[i, : N - lag], x[j, lag:])[0, 1], N - lag) for i, j in ways for lag in range(0, N // 2, 10)}
+    for block in (None, 381):
+        got = {(r.i, r.j, r.lag): (r.corr, r.n) for r in network.LAG_PROFILE(series=stored[0]["series"], pairs=stored[0]["pairs"], block=block).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_links_under_a_recursion_are_written_once(spark):
+    made = []
+    links = Source("links", lambda s, _: s.createDataFrame([("a", "b", 0.5), ("b", "c", 0.4)], "from_id string, to_id string, strength double"), "")
+    step = Function("kept_links", "SELECT * FROM {x}", run=lambda x: made.append(x) or x)
+    plan = Plan(network.PATHS, {"links": Plan(step, {"x": links})})
+    assert plan.readers()[id(plan.inputs["links"])] > 1
+    assert {r.path for r in plan.spark(spark, "").collect()} == {"/a/b/", "/b/c/", "/a/b/c/"} and len(made) == 1

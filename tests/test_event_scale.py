@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strandflow.operators import detect
+from strandflow.operators import detect, impact
 
 N = 260
 
@@ -50,3 +50,14 @@ def test_boundaries_reach_frames_by_equality(world):
     off = x.frame.to_numpy()[:, None] - b[None]
     want = x.score + np.where((off >= -50) & (off < 50), np.exp(-(off**2) / 800.0), 0).sum(1)
     assert len(got) == N and np.allclose(got.score, want)
+
+
+def test_evidence_meets_steps_by_equality_and_blocks_change_nothing(world):
+    made, held = world
+    assert joins_by_frame(impact.EVIDENCE(events=made["events"], z=made["z"]))
+    step = held["z"].pivot(index="frame", columns="atom_id", values="step")
+    gain = step.diff().abs().fillna(0)
+    want = {e.event_id: (step.loc[e.start_frame : e.end_frame].max().max(), gain.loc[e.start_frame : e.end_frame].max().max()) for e in held["events"].itertuples() if e.end_frame > 0}
+    for block in (None, 40):
+        got = {r.event_id: (r.max_velocity, r.max_acceleration) for r in impact.EVIDENCE(events=made["events"], z=made["z"], block=block).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)

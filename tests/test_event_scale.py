@@ -61,3 +61,14 @@ def test_evidence_meets_steps_by_equality_and_blocks_change_nothing(world):
     for block in (None, 40):
         got = {r.event_id: (r.max_velocity, r.max_acceleration) for r in impact.EVIDENCE(events=made["events"], z=made["z"], block=block).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_event_anomaly_sorts_blocks_and_not_runs(world):
+    made, held = world
+    given = {k: made[k] for k in ("patterns", "flow", "tension", "synchrony")}
+    assert "blk" in "".join(re.findall(r"Window \[.*", plan_of(impact.EVENT_ANOMALY(**given))))
+    v = held["flow"].lf_mag.to_numpy()
+    want = {e.event_id: (abs(v[e.start_frame] - v[max(e.start_frame - 1, 0)]), abs(v[e.start_frame] - v.mean()) / v.std()) for e in held["events"].itertuples()}
+    for block in (None, 40):
+        got = {r.event_id: (r.jump, r.z) for r in impact.EVENT_ANOMALY(**given, block=block).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from strandflow.operators import detect, impact
+from strandflow.operators import detect, impact, network
 
 N = 260
 
@@ -72,3 +73,16 @@ def test_event_anomaly_sorts_blocks_and_not_runs(world):
     for block in (None, 40):
         got = {r.event_id: (r.jump, r.z) for r in impact.EVENT_ANOMALY(**given, block=block).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_bootstrap_statistics_read_the_draws_once(spark, world):
+    made, held = world
+    series = made["flow"].selectExpr("run_id", "cast(frame as int) AS frame", "lf_mag AS v")
+    df = network.BOOTSTRAP_STATISTICS(series=series, reps=3)
+    assert plan_of(df).count("md5(") <= 2  # a projection, and the filter that Spark infers for the join
+    v, n = held["flow"].lf_mag.to_numpy(), N
+    picks = [np.array([int(hashlib.md5(f"42|{rep}|{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)]) for rep in (1, 2, 3)]
+    got = {r.stat: (r.estimate, r.lo, r.hi, r.se) for r in df.collect()}
+    for stat, f in {"mean": np.mean, "var": np.var, "std": np.std, "median": np.median, "max": np.max, "min": np.min}.items():
+        x = np.array([f(v[p]) for p in picks])
+        assert np.allclose(got[stat], (f(v), *np.percentile(x, [2.5, 97.5]), x.std()))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strandflow.operators import detect, impact, network
+from strandflow.operators import detect, events, impact, network
 
 N = 260
 
@@ -86,3 +86,25 @@ def test_bootstrap_statistics_read_the_draws_once(spark, world):
     for stat, f in {"mean": np.mean, "var": np.var, "std": np.std, "median": np.median, "max": np.max, "min": np.min}.items():
         x = np.array([f(v[p]) for p in picks])
         assert np.allclose(got[stat], (f(v), *np.percentile(x, [2.5, 97.5]), x.std()))
+
+
+def test_peaks_shuffle_an_event_once_and_nulls_are_no_peaks(spark, tmp_path):
+    g = np.random.default_rng(9)
+    rows = [(e, k, t, 60, None if (e, t % 9) == (1, 4) else float(g.integers(0, 5) + (t == 30) * 9 * (e < 2))) for e in range(3) for k in "ab" for t in range(60)]
+    rows += [(7, "a", t, 12, [None, 2.0, 2.0][min(t, 2)]) for t in range(12)]
+    spark.createDataFrame(rows, "event_id int, g string, t int, n int, v double").write.parquet(f"{tmp_path}/inside")
+    inside = spark.read.parquet(f"{tmp_path}/inside")
+    df = events.PEAKS(inside=inside)
+    assert plan_of(df).count("Scan parquet") == 1
+    got = {(r.event_id, r.g, r.place): (r.delay, r.peak) for r in df.collect()}
+    want = {}
+    for e, k in {(r[0], r[1]) for r in rows}:
+        x = {t: v for a, b, t, _, v in rows if (a, b) == (e, k) and v is not None}
+        line = np.mean(list(x.values())) + np.std(list(x.values()))
+        kept = []
+        for t in sorted((t for t in x if t - 1 in x and t + 1 in x and x[t] > max(x[t - 1], x[t + 1]) and x[t] >= line), key=lambda t: (-x[t], t)):
+            if all(abs(t - o) >= 5 for o in kept):
+                kept.append(t)
+        for n, t in enumerate(sorted(kept)[:5] or [min(x, key=lambda t: (-x[t], t))]):
+            want[e, k, n + 1] = (t, x[t])
+    assert got == want and (7, "a", 1) in want

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from strandflow.operators import detect, flow, series
+from strandflow.operators import detect, flow, network, series
 
 N = 130
 RNG = np.random.default_rng(17)
@@ -64,3 +64,47 @@ def test_no_sliding_window_of_the_engine(held):
     path = df.withColumnRenamed("v", "x")
     for made in (series.ROLLING(series=df), series.LOCAL_Z(series=df), series.GAUSSIAN_FILTER(series=df), detect.CENTRED_Z(series=df), flow.TENSION(path=path)):
         assert "Window [" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("block", [None, 33])
+def test_synchrony_leaves_out_rows_with_a_null(held, block):
+    df, v = held
+    pair = df.selectExpr("run_id", "frame", "v AS rmsd", "CASE WHEN frame <> 20 THEN y END AS rg")
+    other = np.where(np.arange(N) == 20, np.nan, np.arange(N) % 7)
+    want = []
+    for i in range(N):
+        a, b = v[max(0, i - 8) : i + 9], other[max(0, i - 8) : i + 9]
+        both = ~np.isnan(a) & ~np.isnan(b)
+        if np.isnan(a).all():
+            want.append(0.0)
+        else:
+            c = ((a[both] - a[both].mean()) * (b[both] - b[both].mean())).mean()
+            want.append(abs(c / (np.nanstd(a) * np.nanstd(b))) if np.nanstd(a) > 1e-10 else 0.0)
+    assert alike(of_run(flow.SYNCHRONY(pair=pair, w=8, block=block), "sigma_s"), want)
+
+
+@pytest.mark.parametrize("block", [None, 71])
+def test_lag_profile_with_gaps_nulls_and_constants_makes_no_row_for_each_lag(spark, held, block, tmp_path):
+    g = np.random.default_rng(4)
+    a, b, c = g.normal(size=N), g.normal(size=N), np.full(N, 0.3)
+    a[11], b[100] = np.nan, np.nan
+    c[115:] = g.normal(size=15)
+    frames = {"a": range(N), "b": [f for f in range(N) if f not in (50, 51)], "c": range(N)}
+    values = {"a": a, "b": b, "c": c}
+    rows = [(k, f, None if np.isnan(values[k][f]) else float(values[k][f])) for k, fs in frames.items() for f in fs]
+    spark.createDataFrame(rows, "run_id string, frame int, v double").write.parquet(f"{tmp_path}/s")
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "i string, j string, distance double")
+    df = network.LAG_PROFILE(series=spark.read.parquet(f"{tmp_path}/s"), pairs=pairs, lags=8, step=5, block=block)
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.i, r.j, r.lag): (r.corr, r.n) for r in df.collect()}
+    want = {}
+    for i, j in (("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")):
+        for lag in range(0, 40, 5):
+            at = [f for f in frames[i] if f + lag in frames[j]]
+            x, y = values[i][at], values[j][[f + lag for f in at]]
+            both = ~np.isnan(x) & ~np.isnan(y)
+            sd = np.nanstd(x - x[~np.isnan(x)][0]), np.nanstd(y - y[~np.isnan(y)][0])
+            cov = ((x[both] - x[both].mean()) * (y[both] - y[both].mean())).mean()
+            want[i, j, lag] = (cov / (sd[0] * sd[1]) if min(sd) > 1e-10 else 0.0, len(at))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert got["c", "b", 15][0] == 0.0 and got["c", "b", 0][0] != 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from strandflow.operators import detect, flow, network, series
+from strandflow.operators import detect, flow, network, series, windows
 
 N = 130
 RNG = np.random.default_rng(17)
@@ -108,3 +108,16 @@ def test_lag_profile_with_gaps_nulls_and_constants_makes_no_row_for_each_lag(spa
             want[i, j, lag] = (cov / (sd[0] * sd[1]) if min(sd) > 1e-10 else 0.0, len(at))
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     assert got["c", "b", 15][0] == 0.0 and got["c", "b", 0][0] != 0.0
+
+
+def test_means_round_as_sums_in_the_order_of_rows():
+    x = np.round(np.random.default_rng(2).uniform(0, 100, 60), 2)
+    _, mean, _ = windows.moments(x, np.ones(60, dtype=bool), 12, 12)
+    assert mean.tolist() == [_in_order(x[max(0, i - 12) : i + 13]) for i in range(60)]
+
+
+def _in_order(x) -> float:
+    total = 0.0
+    for v in x.tolist():
+        total += v
+    return total / len(x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -128,3 +130,35 @@ def test_general_causality(spark):
     assert set(rows) == {("x", "y")}
     assert rows["x", "y"].lag == 7
     assert np.isclose(rows["x", "y"].strength, abs(np.corrcoef(v["x"][:-7], v["y"][7:])[0, 1]))
+
+
+@pytest.mark.parametrize("block", [None, 199])
+def test_general_causality_joins_no_frames_and_blocks_change_nothing(spark, tmp_path, block):
+    g = np.random.default_rng(4)
+    n = 451
+    v = {k: g.normal(0, 1, n) for k in "xyz"}
+    v["y"][50:] += v["x"][:-50]
+    gone = {("x", 30), ("y", 31)}
+    spark.createDataFrame([(k, i, None if (k, i) == ("z", 9) else float(a)) for k, s in v.items() for i, a in enumerate(s) if (k, i) not in gone], "run_id string, frame int, v double").write.parquet(f"{tmp_path}/series")
+    pairs = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "z")], "i string, j string")
+    df = o.GENERAL_CAUSALITY(series=spark.read.parquet(f"{tmp_path}/series"), pairs=pairs, least=0.0, block=block)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    keys = re.findall(r"(?:SortMergeJoin|HashJoin|NestedLoopJoin) \[(.*?)\],", plan)
+    assert "frame_blk" in "".join(keys) and not re.search(r"\bframe#", "".join(keys)), keys
+    v["z"][9] = np.nan
+    for k, i in gone:
+        v[k][i] = np.nan
+
+    def strongest(a, b):
+        best = []
+        for lag in range(1, 100):
+            x, y = a[:-lag], b[lag:]
+            known = ~np.isnan(x) & ~np.isnan(y)
+            best.append((-round(abs(np.cov(x[known], y[known], ddof=0)[0, 1] / (x[known].std() * y[known].std())), 9), lag))
+        return min(best)
+
+    got = {(r.i, r.j): (r.strength, r.lag) for r in df.collect()}
+    for a, b in (("x", "y"), ("y", "x")):
+        strength, lag = strongest(v[a], v[b])
+        assert np.isclose(got[a, b][0], -strength, atol=1e-8) and got[a, b][1] == lag
+    assert got["x", "y"][1] == 50 and ("x", "z") in got

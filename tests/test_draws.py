@@ -1,4 +1,4 @@
-"""Draws in arrays against the statements that the check runs: hashes, permutations, in blocks and where a threshold lies outside its bounds."""
+"""Draws in arrays against the statements that the check runs: hashes, permutations, shuffles, in blocks and tiles and where a threshold lies outside its bounds."""
 
 from __future__ import annotations
 
@@ -56,3 +56,13 @@ def test_permutation_against_its_statement(series, held, given):
 def test_permutation_has_no_row_for_each_replicate_and_frame(series):
     plan = network.PERMUTATION(series=series, reps=120)._jdf.queryExecution().sparkPlan().toString()
     assert not re.search(r"\bWindow \[|md5\(", plan)
+
+
+@pytest.mark.parametrize("given", [{}, {"size": 33, "span": 20, "tile": 48}])
+def test_null_p_value_against_its_statement(series, held, given):
+    same(network.NULL_P_VALUE(series=series, reps=120, **given).toPandas(), plain(network.NULL_P_VALUE, held, reps=120), ["g"])
+
+
+def test_shuffles_make_no_row_for_each_replicate_and_frame(series):
+    plan = network.NULL_P_VALUE(series=series, reps=120)._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"\bWindow \[|md5\(", plan)

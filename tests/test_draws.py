@@ -1,4 +1,4 @@
-"""Draws in arrays against the statements that the check runs: hashes, permutations, shuffles, in blocks and tiles and where a threshold lies outside its bounds."""
+"""Draws in arrays against the statements that the check runs: hashes, permutations, shuffles, bootstraps, in blocks and tiles and where a threshold lies outside its bounds."""
 
 from __future__ import annotations
 
@@ -66,3 +66,13 @@ def test_null_p_value_against_its_statement(series, held, given):
 def test_shuffles_make_no_row_for_each_replicate_and_frame(series):
     plan = network.NULL_P_VALUE(series=series, reps=120)._jdf.queryExecution().sparkPlan().toString()
     assert not re.search(r"\bWindow \[|md5\(", plan)
+
+
+@pytest.mark.parametrize("given", [{}, {"size": 33}, {"size": 33, "reach": 0.3}])
+def test_bootstrap_statistics_against_their_statement(series, held, given):
+    same(network.BOOTSTRAP_STATISTICS(series=series, reps=120, **given).toPandas(), plain(network.BOOTSTRAP_STATISTICS, held, reps=120), ["g", "stat"])
+
+
+def test_bootstrap_makes_no_row_for_each_replicate_and_frame(series):
+    plan = network.BOOTSTRAP_STATISTICS(series=series, reps=120)._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"\bWindow \[|md5\(", plan)

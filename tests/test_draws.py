@@ -76,3 +76,23 @@ def test_bootstrap_statistics_against_their_statement(series, held, given):
 def test_bootstrap_makes_no_row_for_each_replicate_and_frame(series):
     plan = network.BOOTSTRAP_STATISTICS(series=series, reps=120)._jdf.queryExecution().sparkPlan().toString()
     assert not re.search(r"\bWindow \[|md5\(", plan)
+
+
+def test_draws_of_nothing(spark):
+    none = spark.createDataFrame([], "run_id string, frame int, v double")
+    for op in (network.PERMUTATION, network.NULL_P_VALUE, network.BOOTSTRAP_STATISTICS):
+        assert op(series=none, reps=3).count() == 0
+
+
+def test_nan_counts_as_the_highest_value(spark):
+    g = np.random.default_rng(6)
+    rows = pd.DataFrame([(k, f, float("nan") if (k, f) == ("b", 7) else float(g.normal())) for k in "abc" for f in range(40)], columns=["run_id", "frame", "v"]).astype({"run_id": object, "frame": "int32"})
+    series = spark.createDataFrame([(r.run_id, int(r.frame), r.v) for r in rows.itertuples()], "run_id string, frame int, v double")
+    with duckdb.connect() as db:
+        db.sql("CREATE TABLE held (run_id VARCHAR, frame INTEGER, v DOUBLE)")
+        db.executemany("INSERT INTO held VALUES (?, ?, ?)", [(r.run_id, int(r.frame), r.v) for r in rows.itertuples()])
+        want = db.sql(plain_sql(network.PERMUTATION.render({"reps": 30})).replace("{series}", "held")).fetchall()
+    got = [tuple(r) for r in network.PERMUTATION(series=series, reps=30).collect()]
+    assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(want)] and np.allclose([r[2:] for r in sorted(got)], [r[2:] for r in sorted(want)], equal_nan=True)
+    most = {r.g: r.estimate for r in network.BOOTSTRAP_STATISTICS(series=series, reps=30).where("stat = 'max'").collect()}
+    assert np.isnan(most["b"]) and most["a"] == rows[rows.run_id == "a"].v.max()
